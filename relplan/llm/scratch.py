@@ -1,0 +1,57 @@
+"""Intermediate tables in the folder that all executors share.
+
+Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and
+reading it back, so a lost executor costs a re-read, never a recomputation of
+everything before.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+_WRITTEN: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by the session; a local one of our own only for local masters."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="relplan-")
+    return _OWN[app]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, remembered for :func:`clear`."""
+    path = f"{shared_dir(spark)}/relplan-{uuid.uuid4().hex[:12]}-{name}"
+    _WRITTEN.append(path)
+    return path
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read from there."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete one path of the shared folder."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every intermediate table written so far; call it once results are stored."""
+    while _WRITTEN:
+        drop(spark, _WRITTEN.pop())
