@@ -107,79 +107,89 @@ def runs(*breaks: np.ndarray) -> np.ndarray:
     return np.flatnonzero(flag)
 
 
-def numbered(keys: np.ndarray) -> np.ndarray:
-    """The rank of each key among the distinct ones."""
-    order = np.argsort(keys, kind="stable")
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys side by side, and where each group of them begins in it."""
+    order = np.argsort(keys)
     sorted_ = keys[order]
-    new = np.zeros(len(keys), np.int64)
-    new[1:] = sorted_[1:] != sorted_[:-1]
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.cumsum(new)
-    return out
+    return order, runs(sorted_[1:] != sorted_[:-1]) if len(keys) else np.zeros(0, np.int64)
+
 
+def sizes(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(first, n))
 
-def classes(units: Units, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A class number for each window codes[start:start+span]; equal windows share it.
 
-    Buckets of q-grams come first; they are numbered through a hash, and a bucket
-    whose members differ is renumbered by its codes.  Then bucket numbers are
-    refined by those at later offsets, each pass reusing the numbers of the last.
+def classes(units: Units, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups (order, first) of equal windows codes[start:start+span].
+
+    Buckets of q-grams come first; then bucket numbers are refined by those at
+    later offsets, each pass reusing the numbers of the last and reaching twice
+    as far, until the span is covered.
     """
-    if not len(starts):
-        return np.zeros(0, np.int64)
-    bucket = _buckets(units, codes)
+    depth, reach = units.q, [0]
+    while depth < units.span:  # offsets whose bucket numbers the passes need, from the last one back
+        step = min(depth, units.span - depth)
+        depth += step
+        reach = [*reach, *(r + step for r in reach)]
+    need = np.zeros(len(codes) + 1, bool)
+    for offset in reach:
+        need[starts + offset] = True
+    where = np.flatnonzero(need)
+    bucket = np.zeros(len(codes) + 1, np.uint32)
+    bucket[where] = _buckets(units, codes, where)
     depth = units.q
     while depth < units.span:
         step = min(depth, units.span - depth)
-        last = units.span - depth - step <= 0
-        where = starts if last else np.arange(len(bucket) - step)
-        pair = (bucket[where].astype(K.U64) << K.U64(32)) | bucket[where + step].astype(K.U64)
-        bucket, depth = numbered(pair), depth + step
-        if last:
-            return bucket
-    return bucket[starts]
-
-
-def _buckets(units: Units, codes: np.ndarray) -> np.ndarray:
-    """Exact bucket numbers of all q-grams of ``codes``."""
+        depth += step
+        at = starts if depth == units.span else where[where + step <= len(codes)]
+        order, first = groups((bucket[at].astype(K.U64) << K.U64(32)) | bucket[at + step])
+        if depth == units.span:
+            return order, first
+        finer = np.zeros_like(bucket)
+        finer[at[order]] = np.repeat(np.arange(len(first), dtype=np.uint32), sizes(first, len(order)))
+        bucket = finer
+    return groups(bucket[starts])
+
+
+def _buckets(units: Units, codes: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Exact bucket numbers of the q-grams at some positions, found through a hash and checked unit by unit."""
     q = units.q
-    hashed = units.grams(codes, q)
-    order = np.argsort(hashed, kind="stable")
-    sorted_ = hashed[order]
-    same = np.zeros(len(order), bool)
-    same[1:] = sorted_[1:] == sorted_[:-1]
+    order, first = groups(units.grams(codes, q)[where])
+    same = np.ones(len(order), bool)
+    same[first] = False
     pairs = np.flatnonzero(same)
-    here, before = order[pairs], order[pairs - 1]
-    equal = np.ones(len(pairs), bool)
+    here, before = where[order[pairs]], where[order[pairs - 1]]
     if units.words:
+        unequal = np.zeros(len(pairs), bool)
         for j in range(q):
-            equal &= codes[here + j] == codes[before + j]
+            unequal |= codes[here + j] != codes[before + j]
     else:
-        wide = np.lib.stride_tricks.sliding_window_view(codes, 8)
-        packed = np.ascontiguousarray(wide).view(np.uint64)[:, 0] if len(codes) < (1 << 22) else None
-        for j in sorted({*range(0, q - 8, 8), q - 8}):
-            if packed is not None:
-                equal &= packed[here + j] == packed[before + j]
-            else:
-                for d in range(8):
-                    equal &= codes[here + j + d] == codes[before + j + d]
-    if not equal.all():  # two different q-grams share a hash: number the grams themselves
-        return np.unique(np.lib.stride_tricks.sliding_window_view(codes, q), axis=0, return_inverse=True)[1].reshape(-1)
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(~same) - 1
+        packed = np.zeros(len(codes) - 7, K.U64)
+        for j in range(8):
+            packed |= codes[j : len(codes) - 7 + j].astype(K.U64) << K.U64(8 * j)
+        unequal = np.zeros(len(pairs), bool)
+        for j in sorted({*range(0, q - 7, 8), q - 8}):
+            unequal |= packed[here + j] != packed[before + j]
+    out = np.empty(len(order), np.uint32)
+    if unequal.any():  # different q-grams share a hash: number the grams themselves
+        view = np.lib.stride_tricks.sliding_window_view(codes, q)[where]
+        return np.unique(view, axis=0, return_inverse=True)[1].reshape(-1).astype(np.uint32)
+    out[order] = np.repeat(np.arange(len(first), dtype=np.uint32), sizes(first, len(order)))
     return out
 
 
-def later(units: Units, cls: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which windows have an equal one that comes earlier."""
-    order = np.lexsort((start, doc, cls))
-    c, d, s = cls[order], doc[order], start[order]
-    first = runs(c[1:] != c[:-1]) if len(c) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(c)))
-    late = d > np.repeat(d[first], size)
+def later(units: Units, found: tuple[np.ndarray, np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which windows have an equal one that comes earlier; found: groups of equal windows."""
+    order, first = found
+    out = np.zeros(len(order), bool)
+    if not len(order):
+        return out
+    size = sizes(first, len(order))
+    d = doc[order]
+    lowest = np.repeat(np.minimum.reduceat(d, first), size)
+    late = d > lowest
     if units.within:
-        late |= s > np.repeat(s[first], size)
-    out = np.empty(len(cls), bool)
+        s = start[order]
+        late |= s > np.repeat(np.minimum.reduceat(np.where(late, LAST, s), first), size)
     out[order] = late
     return out
 
@@ -220,22 +230,20 @@ def _send(units: Units, parts: int):
                     again = np.add.reduceat(same.astype(np.int32), np.cumsum(length) - length) > 1
                     value, row = np.concatenate([value, value[again]]), np.concatenate([row, row[again]])
                 else:
-                    order = np.argsort(value, kind="stable")
-                    value, row = value[order], row[order]
-                    once = runs((value[1:] != value[:-1]) | (row[1:] != row[:-1]))
-                    value, row = value[once], row[once]
+                    order, once = groups(value ^ K.mix(row.astype(K.U64)))
+                    value, row = value[order[once]], row[order[once]]
                 found.append(_key(value, parts))
                 where.append(bucket[lo + row])
             if not found:
                 continue
             key, own = np.concatenate(found), np.concatenate(where)
-            order = np.lexsort((own, key))
-            key, own = key[order], own[order]
-            first = runs((key[1:] != key[:-1]) | (own[1:] != own[:-1]))
-            many = np.diff(np.append(first, len(key))) > 1
-            twice = np.sort(np.concatenate([first, first[many]]))  # seen twice here: say so
+            order, first = groups(key * K.U64(0x9E3779B97F4A7C15) ^ K.mix(own.astype(K.U64)))
+            many = sizes(first, len(order)) > 1
+            twice = order[np.concatenate([first, first[many]])]  # seen twice here: say so
             key, own = key[twice], own[twice]
-            part = (key >> LOW).astype(np.int64)
+            part = (key >> LOW).astype(np.uint16 if parts < 1 << 16 else np.int64)
+            order = np.argsort(part, kind="stable")
+            key, own, part = key[order], own[order], part[order].astype(np.int64)
             ends = np.searchsorted(part, np.arange(parts + 1))
             some = np.flatnonzero(np.diff(ends))
             for lo in range(0, len(some), 4096):
@@ -250,11 +258,10 @@ def _return(group: pa.Table) -> pa.Table:
     part = group["part"][0].as_py()
     key = np.concatenate([_from_five(x) for x in group["keys"].to_pylist()])
     own = np.concatenate([np.frombuffer(x, np.uint32) for x in group["buckets"].to_pylist()])
-    order = np.argsort(key, kind="stable")
+    order, first = groups(key)
+    size = sizes(first, len(key))
+    order = order[np.repeat(size > 1, size)]
     key, own = key[order], own[order]
-    size = np.diff(np.append(first := runs(key[1:] != key[:-1]), len(key)))
-    twice = np.repeat(size > 1, size)
-    key, own = key[twice], own[twice]
     order = np.lexsort((key, own))
     key, own = key[order], own[order]
     if not len(key):
@@ -269,6 +276,23 @@ def _return(group: pa.Table) -> pa.Table:
 MOVED = ["target", "uid", "rest", "body", "marks", "n", "sha"]
 
 
+def squeezed(raw: bytes) -> bytes:
+    """The bytes compressed, after their length."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def loosened(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _head(raw: bytes) -> np.ndarray:
+    """(doc, uid, begin, count) of the runs that a bucket sent."""
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    doc, uid = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n)
+    index, begin, count = np.frombuffer(raw, np.uint32, -1, 8 + 16 * n).reshape(3, -1).astype(np.int64)
+    return np.stack([doc[index], uid[index], begin, count])
+
+
 def _rows(rest_type: pa.DataType, **columns) -> pa.Table:
     n = len(next(iter(columns.values())))
     kinds = {"target": pa.int32(), "uid": pa.int64(), "rest": rest_type, "body": pa.binary(), "marks": pa.binary(), "n": pa.int64(), "sha": pa.string()}
@@ -279,7 +303,7 @@ def _plain(units: Units, body: bytes) -> bytes:
     return b" ".join(body.split()) if units.words else body
 
 
-def _local(units: Units, buckets: int, parts: int):
+def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
     """Step 3."""
 
     def bucket_of(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -342,15 +366,17 @@ def _local(units: Units, buckets: int, parts: int):
                 order = np.argsort(part, kind="stable")
                 first, count, part = first[order], count[order], part[order]
                 cut = np.append(runs(part[1:] != part[:-1]), len(part))
-                head = np.stack([doc[r[first]], uid[r[first]].view(np.int64), s[first], count], 0)
+                begin, row_of = s[first], r[first]
                 for a, b in zip(cut, cut[1:]):
+                    own_rows, index = np.unique(row_of[a:b], return_inverse=True)
                     body = codes[spread(w[first[a:b]], count[a:b] + units.span - 1)].tobytes()
-                    out.append((int(buckets + part[a]), body, head[:, a:b].tobytes(), bucket))
+                    head = np.array([len(own_rows)]).tobytes() + doc[own_rows].tobytes() + uid[own_rows].tobytes() + index.astype(np.uint32).tobytes() + begin[a:b].astype(np.uint32).tobytes() + count[a:b].astype(np.uint32).tobytes()
+                    out.append((int(buckets + part[a]), squeezed(body), head, bucket))
         texts = left["text"].combine_chunks().fill_null("").cast(pa.binary())
         bodies, shas = [], []
         for i in range(len(doc)):
             raw = texts[i].as_py()
-            bodies.append(raw)
+            bodies.append(squeezed(raw) if pending[i] or texts_wanted else None)
             shas.append(None if pending[i] else hashlib.sha256(_plain(units, raw)).hexdigest())
         own = _rows(rest.type, target=np.full(len(doc), bucket, np.int32), uid=uid.view(np.int64), rest=rest, body=bodies, marks=[marks.get(i, b"") for i in range(len(doc))], n=n_units, sha=shas)
         if not out:
@@ -368,10 +394,10 @@ def _resolve(units: Units, buckets: int):
     def part_of(group: pa.Table) -> pa.Table:
         if group["target"][0].as_py() < buckets:
             return group
-        heads = [np.frombuffer(x, np.int64).reshape(4, -1) for x in group["marks"].to_pylist()]
+        heads = [_head(x) for x in group["marks"].to_pylist()]
         source = np.repeat(group["n"].to_pylist(), [h.shape[1] for h in heads])
         doc, uid, begin, count = np.concatenate(heads, axis=1)
-        codes = np.concatenate([np.frombuffer(x, kind) for x in group["body"].to_pylist()])
+        codes = np.concatenate([np.frombuffer(loosened(x), kind) for x in group["body"].to_pylist()])
         length = count + units.span - 1
         where = spread(np.cumsum(length) - length, count)
         seg = np.repeat(np.arange(len(doc)), count)
@@ -410,7 +436,8 @@ def _finish(units: Units, texts: bool):
         spans = np.concatenate([np.zeros((0, 3), np.int64), *far])
         spans = spans[np.argsort(spans[:, 0], kind="stable")]
         removed, n_spans, shas, kept, cuts = [], [], [], [], []
-        for uid, body, marks, sha in zip(docs["uid"].to_pylist(), docs["body"].to_pylist(), docs["marks"].to_pylist(), docs["sha"].to_pylist(), strict=True):
+        for uid, packed, marks, sha in zip(docs["uid"].to_pylist(), docs["body"].to_pylist(), docs["marks"].to_pylist(), docs["sha"].to_pylist(), strict=True):
+            body = loosened(packed) if packed is not None else b""
             if sha is None:
                 a, b = np.searchsorted(spans[:, 0], uid, "left"), np.searchsorted(spans[:, 0], uid, "right")
                 pairs = np.concatenate([np.frombuffer(marks, np.int64).reshape(-1, 2), spans[a:b, 1:]])
@@ -441,7 +468,7 @@ def _finish(units: Units, texts: bool):
     return bucket_of
 
 
-def remove_repeats(docs: DataFrame, units: Units, texts: bool = False, bucket_bytes: int = 16 << 20, least: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, units: Units, texts: bool = False, bucket_bytes: int = 8 << 20, least: int = 64) -> DataFrame:
     """(rest, n_units, n_removed, n_spans, kept_sha256 and, with ``texts``, kept, cuts) for every document.
 
     ``rest`` holds all columns but text; ``kept`` is what remains, as bytes, and
@@ -450,14 +477,14 @@ def remove_repeats(docs: DataFrame, units: Units, texts: bool = False, bucket_by
     spark_text = F.coalesce(F.col("text"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(spark_text))).first()[0] or 0
     buckets = max(least, total // bucket_bytes + 1)
-    parts = int(min(1 << 23, max(least, total // (bucket_bytes // 2) + 1)))
+    parts = int(min(1 << 23, max(least, total // bucket_bytes + 1)))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     own = docs.select(rest.alias("rest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), spark_text.alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
     sent = own.select("text", "bucket").mapInArrow(_send(units, parts), "part int, keys binary, buckets binary")
     known = sent.groupBy("part").applyInArrow(_return, "bucket int, part int, keys binary")
     rest_type = own.schema["rest"].dataType.simpleString()
     moved = f"target int, uid long, rest {rest_type}, body binary, marks binary, n long, sha string"
-    local = own.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_local(units, buckets, parts), moved)
+    local = own.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_local(units, buckets, parts, texts), moved)
     resolved = local.groupBy("target").applyInArrow(_resolve(units, buckets), moved)
     final = f"rest {rest_type}, n_units long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, cuts array<long>" if texts else "")
     return resolved.groupBy("target").applyInArrow(_finish(units, texts), final)
