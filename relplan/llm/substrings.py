@@ -5,6 +5,9 @@ The smallest hash among the k-grams of a window is its anchor: equal windows hav
 equal anchors wherever they stand.  The work goes in five steps, all of them
 plain shuffles of bounded groups:
 
+Copies of whole texts are found first, by 128 bits of hash and the length: all but the
+first go without further work.
+
 1. every batch of documents sends its distinct anchors to the anchors' parts;
 2. a part returns the anchors seen twice to the document buckets they came from;
 3. a bucket holds the windows with such anchors against each other first, so that
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-LOW = np.uint64(40)
+LOW = np.uint64(32)
 LAST = np.iinfo(np.int64).max
 
 
@@ -195,17 +198,16 @@ def later(units: Units, found: tuple[np.ndarray, np.ndarray], doc: np.ndarray, s
 
 
 def _key(anchor: np.ndarray, parts: int) -> np.ndarray:
-    return ((anchor % K.U64(parts)) << LOW) | (anchor >> K.U64(24))
+    """A part and 32 bits; parts grow with the corpus, so few anchors ever share a key, and those only add candidates."""
+    return ((anchor % K.U64(parts)) << LOW) | (anchor >> LOW)
 
 
-def _five(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _short(x: np.ndarray) -> bytes:
+    return x.astype(np.uint32).tobytes()
 
 
-def _from_five(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64)[:, 0]
+def _long(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint32).astype(K.U64)
 
 
 def _send(units: Units, parts: int):
@@ -248,7 +250,7 @@ def _send(units: Units, parts: int):
             some = np.flatnonzero(np.diff(ends))
             for lo in range(0, len(some), 4096):
                 these = some[lo : lo + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(these.astype(np.int32)), pa.array([_five(key[ends[p] : ends[p + 1]]) for p in these], pa.binary()), pa.array([own[ends[p] : ends[p + 1]].tobytes() for p in these], pa.binary())], ["part", "keys", "buckets"])
+                yield pa.RecordBatch.from_arrays([pa.array(these.astype(np.int32)), pa.array([_short(key[ends[p] : ends[p + 1]]) for p in these], pa.binary()), pa.array([own[ends[p] : ends[p + 1]].tobytes() for p in these], pa.binary())], ["part", "keys", "buckets"])
 
     return batches
 
@@ -256,7 +258,7 @@ def _send(units: Units, parts: int):
 def _return(group: pa.Table) -> pa.Table:
     """Step 2."""
     part = group["part"][0].as_py()
-    key = np.concatenate([_from_five(x) for x in group["keys"].to_pylist()])
+    key = np.concatenate([_long(x) for x in group["keys"].to_pylist()])
     own = np.concatenate([np.frombuffer(x, np.uint32) for x in group["buckets"].to_pylist()])
     order, first = groups(key)
     size = sizes(first, len(key))
@@ -270,7 +272,7 @@ def _return(group: pa.Table) -> pa.Table:
     key, own = key[once], own[once]
     first = runs(own[1:] != own[:-1])
     ends = np.append(first, len(own))
-    return pa.table([pa.array(own[first].astype(np.int32)), pa.array(np.full(len(first), part, np.int32)), pa.array([_five(key[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())], ["bucket", "part", "keys"])
+    return pa.table([pa.array(own[first].astype(np.int32)), pa.array(np.full(len(first), part, np.int32)), pa.array([_short(key[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())], ["bucket", "part", "keys"])
 
 
 MOVED = ["target", "uid", "rest", "body", "marks", "n", "sha"]
@@ -285,6 +287,14 @@ def loosened(packed: bytes) -> bytes:
     return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
+def _squeeze(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        data, offsets = K.buffers(batch.column("text"))
+        raw = data.tobytes()
+        body = pa.array([squeezed(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], body], [*batch.schema.names[:-1], "body"])
+
+
 def _head(raw: bytes) -> np.ndarray:
     """(doc, uid, begin, count) of the runs that a bucket sent."""
     n = int(np.frombuffer(raw, np.int64, 1)[0])
@@ -309,11 +319,18 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
     def bucket_of(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
             return _rows(left.schema.field("rest").type, target=[])
-        known = np.sort(np.concatenate([np.zeros(0, K.U64), *((K.U64(p) << LOW) | _from_five(x) for p, x in zip(right["part"].to_pylist(), right["keys"].to_pylist(), strict=True))]))
+        anchors_in = right.filter(pa.compute.is_valid(right["keys"]))
+        known = np.sort(np.concatenate([np.zeros(0, K.U64), *((K.U64(p) << LOW) | _long(x) for p, x in zip(anchors_in["part"].to_pylist(), anchors_in["keys"].to_pylist(), strict=True))]))
+        copies_in = right.filter(pa.compute.is_valid(right["doc"]))
+        copies = set(zip(copies_in["doc"].to_pylist(), copies_in["hash"].to_pylist(), strict=True))
         bucket = left["bucket"][0].as_py()
         rest = left["rest"].combine_chunks()
         doc = np.asarray(left["doc"])
-        data, offsets = K.buffers(left["text"])
+        packed = left["body"].to_pylist()
+        raws = [loosened(x) for x in packed]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raws])]).astype(np.int64)
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        copied = np.array([x in copies for x in zip(left["doc"].to_pylist(), left["hash"].to_pylist(), strict=True)], bool)
         n_units = np.zeros(len(doc), np.int64)
         uid = K.mix(doc.view(K.U64) + np.uint64(1)) ^ K.hashes(data, offsets[:-1], offsets[1:])
         pieces, begins, lengths, rows, anchors = [], [], [], [], []
@@ -324,10 +341,11 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
             if not len(at) or not len(known):
                 continue
             first = runs(anchor[1:] != anchor[:-1], at[1:] != at[:-1] + 1)
-            size = np.diff(np.append(first, len(at)))
+            size = sizes(first, len(at))
             key = _key(anchor[first], parts)
             spot = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            hit = np.repeat(known[spot] == key, size)
+            owner = lo + np.searchsorted(counts, at[first], "right") - 1
+            hit = np.repeat((known[spot] == key) & ~copied[owner], size)
             if not hit.any():
                 continue
             at, key = at[hit], np.repeat(key, size)[hit]
@@ -372,12 +390,13 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
                     body = codes[spread(w[first[a:b]], count[a:b] + units.span - 1)].tobytes()
                     head = np.array([len(own_rows)]).tobytes() + doc[own_rows].tobytes() + uid[own_rows].tobytes() + index.astype(np.uint32).tobytes() + begin[a:b].astype(np.uint32).tobytes() + count[a:b].astype(np.uint32).tobytes()
                     out.append((int(buckets + part[a]), squeezed(body), head, bucket))
-        texts = left["text"].combine_chunks().fill_null("").cast(pa.binary())
-        bodies, shas = [], []
-        for i in range(len(doc)):
-            raw = texts[i].as_py()
-            bodies.append(squeezed(raw) if pending[i] or texts_wanted else None)
-            shas.append(None if pending[i] else hashlib.sha256(_plain(units, raw)).hexdigest())
+        shas, bodies = [], []
+        for i, raw in enumerate(raws):
+            gone = copied[i] and n_units[i] >= units.span  # a copy of an earlier document goes as a whole
+            if gone:
+                marks[i] = np.array([0, n_units[i]]).tobytes()
+            shas.append(None if pending[i] else hashlib.sha256(b"" if gone else _plain(units, raw)).hexdigest())
+            bodies.append(packed[i] if pending[i] or (texts_wanted and not gone) else None)
         own = _rows(rest.type, target=np.full(len(doc), bucket, np.int32), uid=uid.view(np.int64), rest=rest, body=bodies, marks=[marks.get(i, b"") for i in range(len(doc))], n=n_units, sha=shas)
         if not out:
             return own
@@ -442,9 +461,10 @@ def _finish(units: Units, texts: bool):
                 a, b = np.searchsorted(spans[:, 0], uid, "left"), np.searchsorted(spans[:, 0], uid, "right")
                 pairs = np.concatenate([np.frombuffer(marks, np.int64).reshape(-1, 2), spans[a:b, 1:]])
             else:
-                pairs = np.zeros((0, 2), np.int64)
+                pairs = np.frombuffer(marks, np.int64).reshape(-1, 2)
             if len(pairs):
                 pairs = _cover(pairs)
+            if len(pairs) and packed is not None:
                 pieces = body.split() if units.words else body
                 keep, at = [], 0
                 for lo, hi in [*pairs.tolist(), (len(pieces), len(pieces))]:
@@ -479,12 +499,19 @@ def remove_repeats(docs: DataFrame, units: Units, texts: bool = False, bucket_by
     buckets = max(least, total // bucket_bytes + 1)
     parts = int(min(1 << 23, max(least, total // bucket_bytes + 1)))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    own = docs.select(rest.alias("rest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), spark_text.alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int").alias("bucket"))
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    own = docs.select(rest.alias("rest"), doc.alias("doc"), F.xxhash64(spark_text).alias("hash"), bucket.alias("bucket"), spark_text.alias("text"))
     sent = own.select("text", "bucket").mapInArrow(_send(units, parts), "part int, keys binary, buckets binary")
     known = sent.groupBy("part").applyInArrow(_return, "bucket int, part int, keys binary")
+    whole = docs.where(F.octet_length("text") >= units.span).select(doc.alias("doc"), bucket.alias("bucket"), F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("hash2"), F.octet_length("text").alias("size"))
+    firsts = whole.groupBy("hash", "hash2", "size").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hash", "hash2", "size", "first")
+    copies = whole.join(firsts, ["hash", "hash2", "size"]).where("doc > first").select("bucket", "doc", "hash")
+    told = known.select("bucket", "part", "keys", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("hash")).unionByName(copies, allowMissingColumns=True)
     rest_type = own.schema["rest"].dataType.simpleString()
     moved = f"target int, uid long, rest {rest_type}, body binary, marks binary, n long, sha string"
-    local = own.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_local(units, buckets, parts, texts), moved)
+    packed = own.mapInArrow(_squeeze, f"rest {rest_type}, doc long, hash long, bucket int, body binary")
+    local = packed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_local(units, buckets, parts, texts), moved)
     resolved = local.groupBy("target").applyInArrow(_resolve(units, buckets), moved)
     final = f"rest {rest_type}, n_units long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, cuts array<long>" if texts else "")
     return resolved.groupBy("target").applyInArrow(_finish(units, texts), final)
