@@ -429,14 +429,29 @@ def _resolve(units: Units, buckets: int):
         first = runs((seg[1:] != seg[:-1]) | (start[1:] != start[:-1] + 1))
         last = np.append(first[1:], len(seg)) - 1
         order = np.argsort(source[seg[first]], kind="stable")
-        found = np.stack([uid[seg[first]], start[first], start[last] + units.span], 1)[order]
+        owner, lo, hi = (x[order] for x in (uid[seg[first]], start[first], start[last] + units.span))
         to = source[seg[first]][order]
         cut = np.append(runs(to[1:] != to[:-1]), len(to))
-        return _rows(rest_type, target=to[cut[:-1]].astype(np.int32), marks=[found[a:b].tobytes() for a, b in zip(cut, cut[1:])])
+        return _rows(rest_type, target=to[cut[:-1]].astype(np.int32), marks=[_spans(owner[a:b], lo[a:b], hi[a:b]) for a, b in zip(cut, cut[1:])])
 
     return part_of
 
 
+def _spans(uid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """Removed ranges of some documents, packed: the ids once, then an index, a begin and a length each."""
+    own, index = np.unique(uid, return_inverse=True)
+    order = np.lexsort((lo, index))
+    return squeezed(np.array([len(own)]).tobytes() + own.tobytes() + b"".join(x.astype(np.uint32).tobytes() for x in (np.diff(index[order], prepend=0), lo[order], (hi - lo)[order])))
+
+
+def _from_spans(packed: bytes) -> np.ndarray:
+    raw = loosened(packed)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    own = np.frombuffer(raw, np.int64, n, 8)
+    index, lo, length = np.frombuffer(raw, np.uint32, -1, 8 + 8 * n).reshape(3, -1).astype(np.int64)
+    return np.stack([own[np.cumsum(index)], lo, lo + length], 1)
+
+
 def _cover(pairs: np.ndarray) -> np.ndarray:
     """Union of half-open ranges, sorted and apart from each other."""
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
@@ -451,7 +466,7 @@ def _finish(units: Units, texts: bool):
     def bucket_of(group: pa.Table) -> pa.Table:
         is_doc = pa.compute.is_valid(group["uid"])
         docs = group.filter(is_doc)
-        far = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in group.filter(pa.compute.invert(is_doc))["marks"].to_pylist()]
+        far = [_from_spans(x) for x in group.filter(pa.compute.invert(is_doc))["marks"].to_pylist()]
         spans = np.concatenate([np.zeros((0, 3), np.int64), *far])
         spans = spans[np.argsort(spans[:, 0], kind="stable")]
         removed, n_spans, shas, kept, cuts = [], [], [], [], []
