@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, mixing, pu_quality, substrings, wacz, winnow
+from . import kdtree, minhash, mixing, pu_quality, substrings, wacz, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(_table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), substrings.BYTES)
     return found.selectExpr("rest.doc_id", "n_units AS n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -44,9 +48,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_suffix_array_dedup, op3_warc, op6_substring_dedup, op7_topk, op8_decontamination, op9_quality_classifier, op10_mixing]
+    own = [op1_minhash_dedup, op2_suffix_array_dedup, op3_warc, op6_substring_dedup, op7_topk, op8_decontamination, op9_quality_classifier, op10_mixing]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": substrings.BYTES_ORACLE, "op6_substring_dedup": substrings.WORDS_ORACLE, "op3_warc": wacz.ORACLE, "op7_topk": kdtree.ORACLE, "op8_decontamination": winnow.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op1_minhash_dedup": minhash.ORACLE, "op2_suffix_array_dedup": substrings.BYTES_ORACLE, "op6_substring_dedup": substrings.WORDS_ORACLE, "op3_warc": wacz.ORACLE, "op7_topk": kdtree.ORACLE, "op8_decontamination": winnow.ORACLE, "op10_mixing": mixing.ORACLE}
