@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, minhash, mixing, pu_quality, substrings, wacz, winnow
+from . import kdtree, licenses, minhash, mixing, pu_quality, substrings, wacz, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), substrings.WORDS)
     return found.selectExpr("rest.doc_id", "n_units AS n_words", "n_removed", "kept_sha256")
@@ -48,9 +52,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_minhash_dedup, op2_suffix_array_dedup, op3_warc, op6_substring_dedup, op7_topk, op8_decontamination, op9_quality_classifier, op10_mixing]
+    own = [op1_minhash_dedup, op2_suffix_array_dedup, op3_warc, op5_license_scan, op6_substring_dedup, op7_topk, op8_decontamination, op9_quality_classifier, op10_mixing]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": minhash.ORACLE, "op2_suffix_array_dedup": substrings.BYTES_ORACLE, "op6_substring_dedup": substrings.WORDS_ORACLE, "op3_warc": wacz.ORACLE, "op7_topk": kdtree.ORACLE, "op8_decontamination": winnow.ORACLE, "op10_mixing": mixing.ORACLE}
+    return {"op1_minhash_dedup": minhash.ORACLE, "op2_suffix_array_dedup": substrings.BYTES_ORACLE, "op6_substring_dedup": substrings.WORDS_ORACLE, "op3_warc": wacz.ORACLE, "op5_license_scan": licenses.oracle(), "op7_topk": kdtree.ORACLE, "op8_decontamination": winnow.ORACLE, "op10_mixing": mixing.ORACLE}
