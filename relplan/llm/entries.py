@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, licenses, minhash, mixing, pu_quality, substrings, wacz, winnow
+from . import kdtree, lbl, licenses, minhash, mixing, pu_quality, substrings, wacz, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wacz.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_minhash_dedup, op2_suffix_array_dedup, op3_warc, op5_license_scan, op6_substring_dedup, op7_topk, op8_decontamination, op9_quality_classifier, op10_mixing]
+    own = [op1_minhash_dedup, op2_suffix_array_dedup, op3_warc, op4_lm_scoring, op5_license_scan, op6_substring_dedup, op7_topk, op8_decontamination, op9_quality_classifier, op10_mixing]
     return {f.__name__: f for f in own}
 
 
