@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kdtree, lbl, licenses, minhash, mixing, pu_quality, substrings, wacz, winnow
@@ -57,8 +58,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_minhash_dedup, op2_suffix_array_dedup, op3_warc, op4_lm_scoring, op5_license_scan, op6_substring_dedup, op7_topk, op8_decontamination, op9_quality_classifier, op10_mixing]
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": minhash.ORACLE, "op2_suffix_array_dedup": substrings.BYTES_ORACLE, "op6_substring_dedup": substrings.WORDS_ORACLE, "op3_warc": wacz.ORACLE, "op5_license_scan": licenses.oracle(), "op7_topk": kdtree.ORACLE, "op8_decontamination": winnow.ORACLE, "op10_mixing": mixing.ORACLE}
+    found = {"op1_minhash_dedup": minhash.ORACLE, "op2_suffix_array_dedup": substrings.BYTES_ORACLE, "op6_substring_dedup": substrings.WORDS_ORACLE, "op3_warc": wacz.ORACLE, "op5_license_scan": licenses.oracle(), "op7_topk": kdtree.ORACLE, "op8_decontamination": winnow.ORACLE, "op10_mixing": mixing.ORACLE}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

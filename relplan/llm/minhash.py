@@ -239,6 +239,20 @@ def groups(docs: DataFrame, percent: int = 85, k: int = SHINGLE, coordinates: in
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def first_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their group, all columns; of rows with equal ids one stays, rows without id all."""
+    gone = scratch.keep(groups(docs.select("doc_id", "text"), **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = scratch.keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    if again.isEmpty():
+        return left
+    same = F.col("doc_id") == F.col("_again")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # the least row by id and text; columns may be of any type, so they are carried and not compared
+    one = left.join(again, same, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text")).alias("row"))
+    return left.join(again, same, "left_anti").unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+
+
 ORACLE = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0),
