@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, lbl, licenses, minhash, mixing, pu_quality, substrings, wacz, winnow
+from . import kdtree, lbl, licenses, minhash, mixing, pu_quality, scratch, substrings, wacz, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scratch.ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_minhash_dedup, op2_suffix_array_dedup, op3_warc, op4_lm_scoring, op5_license_scan, op6_substring_dedup, op7_topk, op8_decontamination, op9_quality_classifier, op10_mixing]
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {name: _shipped(f) for name, f in [*((f.__name__, f) for f in own), ("pipeline", corpus_pipeline.run)]}
 
 
 def oracle_sql() -> dict[str, str]:
