@@ -8,14 +8,14 @@ filled then, and equal bins of two sketches estimate the similarity with strong
 concentration.  Bins are grouped into bands; documents that share a band are
 candidates, and every candidate pair that matters is verified on full sets.
 
-No bucket is ever gathered or paired up.  Each bucket has a leader, the member
-that meets most others over all its buckets.  First every document is verified
-against the one leader it shares most bands with; linked documents merge.  Then
-buckets that still hold two components have all others verified against a
-leader, which is thereby done with and leaves the bucket.  What is still open
-after ``rounds`` such passes is verified pair by pair across components.  Only
-pairs inside one component are skipped, so no link between components is lost
-but those that share no band (below 1 in a million at the threshold).
+First every document is verified against one other, the leader of its buckets
+that it shares most bands with; the leader of a bucket is the member that meets
+most others over all its buckets.  Linked documents merge.  Buckets that still
+hold two components are then compared in full, in blocks: a block has a bounded
+number of members and bytes, every pair of blocks of a bucket is one task's
+group, and a group sends on at most one link for each merger it sees.  Only pairs
+inside one component are skipped, so no link between components is lost but
+those that share no band (below 1 in a million at the threshold).
 
 Defined cases: null and empty texts, and texts without words, have no shingles
 and link with nothing; fewer than five words are one shingle; equal ids count as
@@ -120,6 +120,11 @@ def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(body, pa.binary())], ["node", "body"])
 
 
+def full_set(body: bytes, k: int) -> np.ndarray:
+    raw = np.frombuffer(loosened(body), np.uint8)
+    return sets(raw, np.array([0, len(raw)]), k)[0]
+
+
 def _confirmed(k: int, percent: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
@@ -128,8 +133,7 @@ def _confirmed(k: int, percent: int):
             if body not in known:
                 if len(known) >= 64:
                     known.clear()
-                raw = np.frombuffer(loosened(body), np.uint8)
-                known[body] = sets(raw, np.array([0, len(raw)]), k)[0]
+                known[body] = full_set(body, k)
             return known[body]
 
         for batch in it:
@@ -189,7 +193,50 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return total
 
 
-def groups(docs: DataFrame, percent: int = 85, k: int = SHINGLE, coordinates: int = COORDINATES, band: int = BAND, rounds: int = 4) -> DataFrame:
+def _compared(k: int, percent: int):
+    """Links between components inside the group of two blocks."""
+
+    def group_of(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        node, comp, block = (np.asarray(group[c]) for c in ("node", "comp", "block"))
+        values = [full_set(x, k) for x in group["body"].to_pylist()]
+        n = np.array([len(v) for v in values])
+        row, value = np.repeat(np.arange(len(n)), n), np.concatenate(values)
+        order = np.argsort(value)
+        value, row = value[order], row[order]
+        first = runs(value[1:] != value[:-1])
+        many = np.diff(np.append(first, len(value)))
+        column = np.repeat(np.cumsum(many > 1) - 1, many)[np.repeat(many > 1, many)]
+        row = row[np.repeat(many > 1, many)]
+        shared = np.zeros((len(n), len(n)), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
+            a, b = np.searchsorted(column, [lo, lo + 8192])
+            part = np.zeros((len(n), 8192), np.float32)
+            part[row[a:b], column[a:b] - lo] = 1
+            shared += part @ part.T
+        close = (100 * shared >= percent * (n[:, None] + n[None, :] - shared)) & (comp[:, None] != comp[None, :])
+        if i != j:
+            close &= block[:, None] != block[None, :]
+        label = {c: c for c in comp.tolist()}
+
+        def root(c: int) -> int:
+            while label[c] != c:
+                label[c] = label[label[c]]
+                c = label[c]
+            return c
+
+        found = []
+        for x, y in np.argwhere(np.triu(close, 1)).tolist():
+            one, two = root(int(comp[x])), root(int(comp[y]))
+            if one != two:
+                label[max(one, two)] = min(one, two)
+                found.append((node[x], node[y]))
+        return pa.table([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    return group_of
+
+
+def groups(docs: DataFrame, percent: int = 85, k: int = SHINGLE, coordinates: int = COORDINATES, band: int = BAND, block_rows: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -203,37 +250,27 @@ def groups(docs: DataFrame, percent: int = 85, k: int = SHINGLE, coordinates: in
     met = scratch.keep(buckets.groupBy("node").agg(F.sum("size").alias("met")), "met")
     texts = scratch.keep(plain.withColumnRenamed("doc_id", "node").join(met.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_packed, "node long, body binary"), "texts")
     labels = spark.createDataFrame([], "node long, comp long")
-    open_ = scratch.keep(buckets.select("key", "node").join(met, "node").select("key", "node", F.col("node").alias("comp"), "met"), "open")
-    done = None
-    for turn in range(rounds + 2):
-        if turn:
-            open_ = relabelled(open_, "comp", labels)
-            several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            open_ = scratch.keep(open_.join(scratch.keep(several, "several"), "key"), "open")
-            if open_.isEmpty():
-                break
-        if turn <= rounds:
-            chosen = open_.groupBy("key").agg(F.max(F.struct("met", -F.col("node"), "comp")).alias("x"))
-            leaders = scratch.keep(chosen.select("key", (-F.col("x")[F.lit("col2")]).alias("leader"), F.col("x.comp").alias("lead"), F.col("x.met").alias("most")), "leaders")
-            pairs = open_.join(leaders, "key").where("node <> leader and comp <> lead")
-            if turn:
-                edges = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-                open_ = scratch.keep(open_.join(leaders.select("key", "leader"), "key").where("node <> leader").drop("leader"), "open")
-            else:
-                counted = pairs.groupBy("node", "leader", "most").agg(F.count("*").alias("n"))
-                best = counted.groupBy("node").agg(F.max(F.struct("n", "most", -F.col("leader"))).alias("x"))
-                edges = best.select((-F.col("x")[F.lit("col3")]).alias("a"), F.col("node").alias("b"))
-        else:
-            left = open_.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            right = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            edges = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if turn else edges
-        if done is not None:
-            edges = edges.join(done, ["a", "b"], "left_anti")
-        edges = scratch.keep(edges, "pairs")
-        tried = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        done = tried if done is None else done.unionByName(tried)
-        labels = merged(labels, verified(edges, texts, k, percent))
+
+    ranked = buckets.select("key", "node").join(met, "node")
+    leaders = scratch.keep(ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("x")).select("key", (-F.col("x.least")).alias("leader"), F.col("x.met").alias("most")), "leaders")
+    pairs = buckets.join(leaders, "key").where("node <> leader")
+    counted = pairs.groupBy("node", "leader", "most").agg(F.count("*").alias("n"))
+    best = counted.groupBy("node").agg(F.max(F.struct("n", "most", (-F.col("leader")).alias("least"))).alias("x"))
+    edges = scratch.keep(best.select((-F.col("x.least")).alias("a"), F.col("node").alias("b")), "pairs")
+    labels = merged(labels, verified(edges, texts, k, percent))
+
+    open_ = scratch.keep(relabelled(buckets.select("key", "node", F.col("node").alias("comp")), "comp", labels), "open")
+    several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = scratch.keep(open_.join(scratch.keep(several, "several"), "key"), "open")
+    if not open_.isEmpty():
+        weighed = open_.join(texts.select("node", F.octet_length("body").alias("bytes")), "node")
+        extent = weighed.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("bytes") / block_bytes)).cast("int").alias("blocks"))
+        dealt = open_.join(scratch.keep(extent, "extent"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
+        links = dealt.join(texts, "node").groupBy("key", "i", "j").applyInArrow(_compared(k, percent), "a long, b long")
+        labels = merged(labels, scratch.keep(links, "links"))
+
     named = table.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("component_id"))
     named = relabelled(scratch.keep(named, "named"), "component_id", labels)
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
