@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relplan.llm import minhash, mixing, pu_quality, scratch, substrings, winnow
+from relplan.llm import minhash, mixing, pu_quality, substrings, winnow
+from relplan.sources import shared
 
 #: A document stays if its calibrated chance of being good is at least this.
 GOOD = 0.7
@@ -68,5 +69,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = scratch.keep(docs, f"stage{i}")
+            docs = shared.keep(docs, f"stage{i}")
     return docs
