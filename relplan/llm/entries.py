@@ -7,7 +7,9 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, lbl, licenses, minhash, mixing, pu_quality, scratch, substrings, wacz, winnow
+from relplan.sources import shared
+
+from . import kdtree, lbl, licenses, minhash, mixing, pu_quality, substrings, wacz, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scratch.ship(spark)
+        shared.ship(spark)
         return query(spark, sf_dir)
 
     return run

@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relplan.sources import shared
+
 from . import kernels as K
-from . import scratch
 from .substrings import loosened, runs, squeezed
 
 SHINGLE, COORDINATES, BAND = 5, 192, 6
@@ -146,8 +147,8 @@ def _confirmed(k: int, percent: int):
                     continue
                 both = np.concatenate([x, y])
                 both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= percent * (len(both) - shared))
+                both_have = int((both[1:] == both[:-1]).sum())
+                ok.append(100 * both_have >= percent * (len(both) - both_have))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
@@ -158,7 +159,7 @@ def verified(edges: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     """The pairs (a, b) of ``edges`` whose full sets are similar enough; texts: (node, body)."""
     one = edges.join(texts.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b")
     two = one.join(texts.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
-    return scratch.keep(two.select("a", "b", "body_a", "body_b").mapInArrow(_confirmed(k, percent), "a long, b long"), "links")
+    return shared.keep(two.select("a", "b", "body_a", "body_b").mapInArrow(_confirmed(k, percent), "a long, b long"), "links")
 
 
 def relabelled(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
@@ -174,21 +175,21 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
 
     def contracted(e: DataFrame) -> DataFrame:
         apart = e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return scratch.keep(apart, "edges")
+        return shared.keep(apart, "edges")
 
     edges = contracted(relabelled(relabelled(links.select("a", "b"), "a", labels), "b", labels))
     total = labels
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("next")))
-        hooks = scratch.keep(both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("comp")), "hooks")
+        hooks = shared.keep(both.groupBy("node").agg(F.min("next").alias("next")).select("node", F.least("node", "next").alias("comp")), "hooks")
         while True:
             jump = hooks.join(hooks.select(F.col("node").alias("_n"), F.col("comp").alias("_c")), F.col("comp") == F.col("_n")).select("node", F.col("_c").alias("comp"), (F.col("_c") != F.col("comp")).alias("moved"))
-            further = scratch.keep(jump, "hooks")
+            further = shared.keep(jump, "hooks")
             hooks = further.select("node", "comp")
             if further.where("moved").isEmpty():
                 break
         fresh = hooks.join(total.select("node"), "node", "left_anti")
-        total = scratch.keep(relabelled(total, "comp", hooks).unionByName(fresh), "labels")
+        total = shared.keep(relabelled(total, "comp", hooks).unionByName(fresh), "labels")
         edges = contracted(relabelled(relabelled(edges, "a", hooks), "b", hooks))
     return total
 
@@ -208,13 +209,13 @@ def _compared(k: int, percent: int):
         many = np.diff(np.append(first, len(value)))
         column = np.repeat(np.cumsum(many > 1) - 1, many)[np.repeat(many > 1, many)]
         row = row[np.repeat(many > 1, many)]
-        shared = np.zeros((len(n), len(n)), np.float32)
+        common = np.zeros((len(n), len(n)), np.float32)
         for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):
             a, b = np.searchsorted(column, [lo, lo + 8192])
             part = np.zeros((len(n), 8192), np.float32)
             part[row[a:b], column[a:b] - lo] = 1
-            shared += part @ part.T
-        close = (100 * shared >= percent * (n[:, None] + n[None, :] - shared)) & (comp[:, None] != comp[None, :])
+            common += part @ part.T
+        close = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (comp[:, None] != comp[None, :])
         if i != j:
             close &= block[:, None] != block[None, :]
         label = {c: c for c in comp.tolist()}
@@ -240,47 +241,47 @@ def groups(docs: DataFrame, percent: int = 85, k: int = SHINGLE, coordinates: in
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = scratch.keep(plain.mapInArrow(_sketched(k, coordinates, band), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
+    table = shared.keep(plain.mapInArrow(_sketched(k, coordinates, band), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
     same = ["h1", "h2", "n_shingles"]
-    classes = scratch.keep(table.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
+    classes = shared.keep(table.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
     first = table.select("doc_id", *same, "bands").join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *same], "left_semi")
-    keyed = scratch.keep(first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), "keys")
-    shared = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    buckets = scratch.keep(keyed.join(shared, "key"), "buckets")
-    met = scratch.keep(buckets.groupBy("node").agg(F.sum("size").alias("met")), "met")
-    texts = scratch.keep(plain.withColumnRenamed("doc_id", "node").join(met.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_packed, "node long, body binary"), "texts")
+    keyed = shared.keep(first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), "keys")
+    crowded = shared.keep(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    buckets = shared.keep(keyed.join(crowded, "key"), "buckets")
+    met = shared.keep(buckets.groupBy("node").agg(F.sum("size").alias("met")), "met")
+    texts = shared.keep(plain.withColumnRenamed("doc_id", "node").join(met.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_packed, "node long, body binary"), "texts")
     labels = spark.createDataFrame([], "node long, comp long")
 
     ranked = buckets.select("key", "node").join(met, "node")
-    leaders = scratch.keep(ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("x")).select("key", (-F.col("x.least")).alias("leader"), F.col("x.met").alias("most")), "leaders")
+    leaders = shared.keep(ranked.groupBy("key").agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("x")).select("key", (-F.col("x.least")).alias("leader"), F.col("x.met").alias("most")), "leaders")
     pairs = buckets.join(leaders, "key").where("node <> leader")
     counted = pairs.groupBy("node", "leader", "most").agg(F.count("*").alias("n"))
     best = counted.groupBy("node").agg(F.max(F.struct("n", "most", (-F.col("leader")).alias("least"))).alias("x"))
-    edges = scratch.keep(best.select((-F.col("x.least")).alias("a"), F.col("node").alias("b")), "pairs")
+    edges = shared.keep(best.select((-F.col("x.least")).alias("a"), F.col("node").alias("b")), "pairs")
     labels = merged(labels, verified(edges, texts, k, percent))
 
-    open_ = scratch.keep(relabelled(buckets.select("key", "node", F.col("node").alias("comp")), "comp", labels), "open")
+    open_ = shared.keep(relabelled(buckets.select("key", "node", F.col("node").alias("comp")), "comp", labels), "open")
     several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = scratch.keep(open_.join(scratch.keep(several, "several"), "key"), "open")
+    open_ = shared.keep(open_.join(shared.keep(several, "several"), "key"), "open")
     if not open_.isEmpty():
         weighed = open_.join(texts.select("node", F.octet_length("body").alias("bytes")), "node")
         extent = weighed.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("bytes") / block_bytes)).cast("int").alias("blocks"))
-        dealt = open_.join(scratch.keep(extent, "extent"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = open_.join(shared.keep(extent, "extent"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
         links = dealt.join(texts, "node").groupBy("key", "i", "j").applyInArrow(_compared(k, percent), "a long, b long")
-        labels = merged(labels, scratch.keep(links, "links"))
+        labels = merged(labels, shared.keep(links, "links"))
 
     named = table.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("component_id"))
-    named = relabelled(scratch.keep(named, "named"), "component_id", labels)
+    named = relabelled(shared.keep(named, "named"), "component_id", labels)
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their group, all columns; of rows with equal ids one stays, rows without id all."""
-    gone = scratch.keep(groups(docs.select("doc_id", "text"), **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = shared.keep(groups(docs.select("doc_id", "text"), **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = scratch.keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
+    again = shared.keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
     if again.isEmpty():
         return left
     same = F.col("doc_id") == F.col("_again")

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from relplan.sources import shared
 
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 WEIGHTS = (5, 2, 1)
@@ -60,7 +60,7 @@ def mix(docs: DataFrame, rows_per_bucket: int = 20_000) -> DataFrame:
     ``taken`` counts words over at most three copies; the copy at the budget's
     end is taken up to the budget.  ``virtual_finish`` is that of the first copy.
     """
-    sized = scratch.keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("shuffled")), "sizes")
+    sized = shared.keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.col("doc_id").cast("string")).alias("shuffled")), "sizes")
     most = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     digits = max(1, math.ceil(math.log(max(1, most / rows_per_bucket), 16)))
     sized = sized.withColumn("bucket", F.coalesce(F.substring("shuffled", 1, digits), F.lit("")))

@@ -35,7 +35,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from relplan.sources import shared
 
 END, END64, LOCATOR64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 WARC, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -215,7 +215,7 @@ def write(pages: DataFrame, target: str, least: int = 0, level: int = 1, most_by
         if index:
             yield close()
 
-    return scratch.keep(table.mapInArrow(pack, "path string, records long"), "manifest")
+    return shared.keep(table.mapInArrow(pack, "path string, records long"), "manifest")
 
 
 def read(spark, manifest: DataFrame, target: str) -> DataFrame:
@@ -277,7 +277,7 @@ def _ranges(spots: list[dict], most: int) -> Iterator[list[dict]]:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write every page to archives in the shared folder and return what reading them back gives."""
     spark = pages.sparkSession
-    target = scratch.new_path(spark, "wacz")
+    target = shared.new_path(spark, "wacz")
     return read(spark, write(pages, target), target)
 
 

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
+from relplan.sources import shared
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,8 +78,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, least
     for other in each[1:]:
         shown = shown.unionByName(other)
     known = shown.select("item", "x.length", "x.hash", F.array_join(F.slice("w", F.col("x.pos") + 1, F.col("x.length")), " ").alias("run")).distinct()
-    known = scratch.keep(known, "windows")
-    prints = scratch.keep(item.where(F.size("w") >= span).select(F.explode(fingerprints(F.col("w"), span)).alias("print")).distinct(), "prints")
+    known = shared.keep(known, "windows")
+    prints = shared.keep(item.where(F.size("w") >= span).select(F.explode(fingerprints(F.col("w"), span)).alias("print")).distinct(), "prints")
     n_windows, n_prints = known.count(), prints.count()
     listed = n_windows <= most_literals and n_prints <= most_literals
     short = [n for n in lengths if n < span]
@@ -101,7 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, least
         for n in short:
             flagged = flagged.union(keyed.select("key", F.explode(windows(F.col("w"), n)).alias("x")).select("key", F.col("x.hash").alias("hash")).join(known.where(F.col("length") == n), "hash", "left_semi").select("key"))
         settled = keyed.join(flagged.distinct().withColumn("hit", F.lit(True)), "key", "left").select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("hit"), F.col("w")).alias("w"))
-    settled = scratch.keep(settled.withColumn("row", F.monotonically_increasing_id()), "suspects")
+    settled = shared.keep(settled.withColumn("row", F.monotonically_increasing_id()), "suspects")
     spots = settled.where(F.col("w").isNotNull())
     found = spots.select("row", F.explode(F.flatten(F.array(*[F.transform(known_at(F.col("w"), n), lambda x: F.struct(x["pos"].alias("pos"), x["length"].alias("length"), x["hash"].alias("hash"), F.array_join(F.slice("w", x["pos"] + 1, x["length"]), " ").alias("run"))) for n in lengths]))).alias("x")).select("row", "x.*")
     met = found.join(known, ["length", "hash", "run"]).groupBy("row").agg(F.collect_set(F.struct("pos", "length")).alias("at"), F.array_sort(F.collect_set("item")).alias("items"))
