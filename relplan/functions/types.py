@@ -108,5 +108,5 @@ def comparable(a: T.DataType, b: T.DataType) -> bool:
 
 
 def in_range(value: Column, limits: tuple[int, int]) -> Column:
-    low, high = (F.lit(x).cast("decimal(38,0)") if abs(x) >= 2**63 else F.lit(x) for x in limits)
+    low, high = (F.lit(str(x)).cast("decimal(38,0)") for x in limits)
     return value.between(low, high)
