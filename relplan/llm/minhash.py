@@ -272,7 +272,7 @@ def groups(docs: DataFrame, percent: int = 85, k: int = SHINGLE, coordinates: in
         links = dealt.join(texts, "node").groupBy("key", "i", "j").applyInArrow(_compared(k, percent), "a long, b long")
         labels = merged(labels, shared.keep(links, "links"))
 
-    named = table.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("component_id"))
+    named = table.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("component_id"))
     named = relabelled(shared.keep(named, "named"), "component_id", labels)
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

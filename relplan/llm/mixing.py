@@ -81,23 +81,38 @@ def mix(docs: DataFrame, rows_per_bucket: int = 20_000) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", finish.alias("virtual_finish"))
 
 
+def _fresh(names: list[str], taken: list[str]) -> list[str]:
+    """The names, with as many underscores behind as set them apart from those taken."""
+    low = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def schedule(docs: DataFrame) -> DataFrame:
     """One row per copy that the mix reads, all columns of ``docs`` first, range-sorted by virtual finish time.
 
-    ``copy`` counts from 0 and ``words`` is how much of that copy is read.
-    Rows are told apart by a hash of all their columns, so equal rows get equal shares.
+    ``copy`` counts from 0 and ``words`` is how much of that copy is read; where
+    ``docs`` has a column of such a name, ours ends in an underscore.  Rows of one
+    id, source and size are told apart by a hash of their text.
     """
     spread = mix(docs)
-    whole = F.struct(*[F.col(c) for c in ("doc_id", "source", "size")])
-    marked = docs.withColumn("_size", word_count(F.col("text")))
-    nth = Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    left = marked.withColumn("_nth", F.row_number().over(nth)).alias("d")
-    right = spread.withColumn("_nth", F.row_number().over(Window.partitionBy(*[whole[c] for c in ("doc_id", "source", "size")]).orderBy("virtual_finish"))).alias("m")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d._size") == F.col("m.size")) & (F.col("d._nth") == F.col("m._nth"))
-    joined = left.join(right, same).select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("m.taken").alias("_taken"), F.col("m.size").alias("_words"), F.col("m.virtual_finish").alias("_first"), F.col("m.source_size").alias("_all"), F.col("m.target").alias("_target"))
-    copies = joined.where("_taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_taken") / F.col("_words")).cast("int") - 1)))
-    out = copies.select(*[F.col(f"`{c}`") for c in docs.columns], "copy", F.least(F.col("_words"), F.col("_taken") - F.col("copy") * F.col("_words")).alias("words"), (F.col("_first") + F.col("copy") * F.col("_all") / F.col("_target")).alias("virtual_finish"))
-    return out.orderBy("virtual_finish", "doc_id", "copy")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(row.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"))
+    alike = ["doc_id", "source", "size"]
+    left = marked.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy("hash"))).alias("d")
+    right = spread.withColumn("nth", F.row_number().over(Window.partitionBy(*alike).orderBy("virtual_finish"))).alias("m")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.size") == F.col("m.size")) & (F.col("d.nth") == F.col("m.nth"))
+    joined = left.join(right, same).where("m.taken > 0").select("d.row", "m.doc_id", "m.taken", "m.size", "m.virtual_finish", "m.source_size", "m.target")
+    copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    finish = F.col("virtual_finish") + F.col("copy") * F.col("source_size") / F.col("target")
+    sorted_ = copies.select("row", "copy", words.alias("words"), finish.alias("finish"), "doc_id").orderBy("finish", "doc_id", "copy")
+    names = _fresh(["copy", "words", "virtual_finish"], docs.columns)
+    return sorted_.select(*[F.col("row")[c].alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in zip(("copy", "words", "finish"), names, strict=True)])
 
 
 ORACLE = r"""
