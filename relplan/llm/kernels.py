@@ -106,10 +106,10 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK, "right")))
         at, to = int(starts[lo]), int(ends[hi - 1])
-        pow_, inv = powers(to - at)
+        pow_, inv = powers(to - at + 1)  # an empty piece may begin at the end
         total = np.empty(to - at + 1, U64)
         total[0] = 0
-        np.cumsum(BYTE_VALUE[data[at:to]] * pow_, out=total[1:])
+        np.cumsum(BYTE_VALUE[data[at:to]] * pow_[:-1], out=total[1:])
         s = starts[lo:hi] - at
         out[lo:hi] = (total[ends[lo:hi] - at] - total[s]) * inv[s]
         lo = hi
