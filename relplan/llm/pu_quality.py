@@ -110,7 +110,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def margin(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    return np.clip((x - model["centre"]) / model["scale"], -8, 8) @ model["w"] + model["b"]
+    # summed row by row, so that a text's score doesn't depend on its batch
+    return (np.clip((x - model["centre"]) / model["scale"], -8, 8) * model["w"]).sum(1) + model["b"]
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
