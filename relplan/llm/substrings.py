@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relplan.sources import shared
+
 from . import kernels as K
 
 LOW = np.uint64(32)
@@ -521,6 +523,7 @@ def remove_repeats(docs: DataFrame, units: Units, texts: bool = False, bucket_by
     known = sent.groupBy("part").applyInArrow(_return, "bucket int, part int, keys binary")
     whole = docs.where(F.octet_length("text") >= units.span).select(doc.alias("doc"), bucket.alias("bucket"), F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("hash2"), F.octet_length("text").alias("size"))
     firsts = whole.groupBy("hash", "hash2", "size").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hash", "hash2", "size", "first")
+    firsts = shared.keep(firsts, "firsts")  # a table of its own, so that Spark can split the join at a large group of copies
     copies = whole.join(firsts, ["hash", "hash2", "size"]).where("doc > first").select("bucket", "doc", "hash")
     told = known.select("bucket", "part", "keys", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("hash")).unionByName(copies, allowMissingColumns=True)
     rest_type = own.schema["rest"].dataType.simpleString()
