@@ -7,6 +7,7 @@ cache and memory stays bounded however many texts a batch holds.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,3 +147,16 @@ def within(counts: np.ndarray, k: int) -> np.ndarray:
     np.add.at(ok, counts[:-1][full], 1)
     np.add.at(ok, (counts[1:] - k + 1)[full], -1)
     return np.flatnonzero(np.cumsum(ok[:-1]) > 0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system; two workers share an executor, and neither should hold on to its peak."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)

@@ -135,10 +135,12 @@ def classes(units: Units, codes: np.ndarray, starts: np.ndarray) -> tuple[np.nda
         step = min(depth, units.span - depth)
         depth += step
         reach = [*reach, *(r + step for r in reach)]
+    index = np.int32 if len(codes) < 2**31 - units.span else np.int64
     need = np.zeros(len(codes) + 1, bool)
     for offset in reach:
         need[starts + offset] = True
-    where = np.flatnonzero(need)
+    where = np.flatnonzero(need).astype(index)
+    del need
     bucket = np.zeros(len(codes) + 1, np.uint32)
     bucket[where] = _buckets(units, codes, where)
     depth = units.q
@@ -146,9 +148,14 @@ def classes(units: Units, codes: np.ndarray, starts: np.ndarray) -> tuple[np.nda
         step = min(depth, units.span - depth)
         depth += step
         at = starts if depth == units.span else where[where + step <= len(codes)]
-        order, first = groups((bucket[at].astype(K.U64) << K.U64(32)) | bucket[at + step])
+        key = bucket[at].astype(K.U64)
+        key <<= K.U64(32)
+        key |= bucket[at + step]
         if depth == units.span:
-            return order, first
+            del bucket, where
+            return groups(key)
+        order, first = groups(key)
+        del key
         finer = np.zeros_like(bucket)
         finer[at[order]] = np.repeat(np.arange(len(first), dtype=np.uint32), sizes(first, len(order)))
         bucket = finer
@@ -159,25 +166,22 @@ def _buckets(units: Units, codes: np.ndarray, where: np.ndarray) -> np.ndarray:
     """Exact bucket numbers of the q-grams at some positions, found through a hash and checked unit by unit."""
     q = units.q
     order, first = groups(units.grams(codes, q)[where])
-    same = np.ones(len(order), bool)
-    same[first] = False
-    pairs = np.flatnonzero(same)
-    here, before = where[order[pairs]], where[order[pairs - 1]]
     if units.words:
-        unequal = np.zeros(len(pairs), bool)
-        for j in range(q):
-            unequal |= codes[here + j] != codes[before + j]
-    else:
-        packed = np.zeros(len(codes) - 7, K.U64)
-        for j in range(8):
-            packed |= codes[j : len(codes) - 7 + j].astype(K.U64) << K.U64(8 * j)
-        unequal = np.zeros(len(pairs), bool)
-        for j in sorted({*range(0, q - 7, 8), q - 8}):
-            unequal |= packed[here + j] != packed[before + j]
-    out = np.empty(len(order), np.uint32)
-    if unequal.any():  # different q-grams share a hash: number the grams themselves
+        columns, steps = codes, range(q)
+    else:  # eight bytes from any position on, as one number
+        codes = np.ascontiguousarray(codes)
+        columns, steps = np.ndarray((len(codes) - 7,), K.U64, codes.data, strides=(1,)), sorted({*range(0, q - 7, 8), q - 8})
+    begins = np.zeros(len(order) + 1, bool)
+    begins[first] = True
+    unequal = False
+    for lo in range(1, len(order), 1 << 18):
+        pairs = lo + np.flatnonzero(~begins[lo : min(lo + (1 << 18), len(order))])
+        here, before = where[order[pairs]], where[order[pairs - 1]]
+        unequal = unequal or any((columns[here + j] != columns[before + j]).any() for j in steps)
+    if unequal:  # different q-grams share a hash: number the grams themselves
         view = np.lib.stride_tricks.sliding_window_view(codes, q)[where]
         return np.unique(view, axis=0, return_inverse=True)[1].reshape(-1).astype(np.uint32)
+    out = np.empty(len(order), np.uint32)
     out[order] = np.repeat(np.arange(len(first), dtype=np.uint32), sizes(first, len(order)))
     return out
 
@@ -319,6 +323,7 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
     """Step 3."""
 
     def bucket_of(left: pa.Table, right: pa.Table) -> pa.Table:
+        K.give_back()
         if not len(left):
             return _rows(left.schema.field("rest").type, target=[])
         anchors_in = right.filter(pa.compute.is_valid(right["keys"]))
@@ -362,8 +367,9 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
         out = []
         marks: dict[int, bytes] = {}
         pending = np.zeros(len(doc), bool)
-        if pieces:
+        if rows:
             codes, start, row, key, size = (np.concatenate(x) for x in (pieces, begins, rows, anchors, lengths))
+            del pieces, begins, rows, anchors, lengths, data
             before = np.cumsum(size + units.span - 1) - (size + units.span - 1)
             where = spread(before, size)
             late = later(units, classes(units, codes, where), doc[row], start)
@@ -413,12 +419,13 @@ def _resolve(units: Units, buckets: int):
     kind = K.U64 if units.words else np.uint8
 
     def part_of(group: pa.Table) -> pa.Table:
+        K.give_back()
         if group["target"][0].as_py() < buckets:
             return group
         heads = [_head(x) for x in group["marks"].to_pylist()]
         source = np.repeat(group["n"].to_pylist(), [h.shape[1] for h in heads])
         doc, uid, begin, count = np.concatenate(heads, axis=1)
-        codes = np.concatenate([np.frombuffer(loosened(x), kind) for x in group["body"].to_pylist()])
+        codes = np.concatenate([np.frombuffer(loosened(x.as_py()), kind) for c in group["body"].chunks for x in c])
         length = count + units.span - 1
         where = spread(np.cumsum(length) - length, count)
         seg = np.repeat(np.arange(len(doc)), count)
@@ -466,6 +473,7 @@ def _finish(units: Units, texts: bool):
     """Step 5."""
 
     def bucket_of(group: pa.Table) -> pa.Table:
+        K.give_back()
         is_doc = pa.compute.is_valid(group["uid"])
         docs = group.filter(is_doc)
         far = [_from_spans(x) for x in group.filter(pa.compute.invert(is_doc))["marks"].to_pylist()]
