@@ -98,6 +98,7 @@ def bands(bins: np.ndarray, width: int = BAND) -> np.ndarray:
 def _sketched(k: int, t: int, width: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
+            K.give_back()
             data, offsets = K.buffers(batch.column("text"))
             ids = batch.column("doc_id")
             for lo, hi in K.slices(offsets):
@@ -198,6 +199,7 @@ def _compared(k: int, percent: int):
     """Links between components inside the group of two blocks."""
 
     def group_of(group: pa.Table) -> pa.Table:
+        K.give_back()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         node, comp, block = (np.asarray(group[c]) for c in ("node", "comp", "block"))
         values = [full_set(x, k) for x in group["body"].to_pylist()]
