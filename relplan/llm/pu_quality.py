@@ -82,14 +82,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> dict[str, np.ndarray]:
-    """Weights that minimise the non-negative risk with the logistic loss, by Adam on mini-batches."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> dict[str, np.ndarray]:
+    """Weights that minimise the non-negative risk with the logistic loss, by Adam on mini-batches.
+
+    The pace falls over the second half, whose weights are averaged: the last ones alone depend much on the last batches.
+    """
     both = np.concatenate([positive, unlabelled])
     centre, scale = both.mean(0), both.std(0) + 1e-3
     p, u = (positive - centre) / scale, (unlabelled - centre) / scale
     np.clip(p, -8, 8, out=p), np.clip(u, -8, 8, out=u)
     w, b, rng = np.zeros(p.shape[1]), 0.0, np.random.default_rng(seed)
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    m, v, total = (np.zeros(len(w) + 1) for _ in range(3))
     for t in range(1, steps + 1):
         xp, xu = p[rng.integers(0, len(p), 1024)], u[rng.integers(0, len(u), 1024)]
         zp, zu = xp @ w + b, xu @ w + b
@@ -104,9 +107,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
             grad = np.append(xp.T @ gp - xu.T @ gu, gp.sum() - gu.sum())
         grad[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = rate * min(1.0, 2 * (1 - t / (steps + 1))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    return {"centre": centre, "scale": scale, "w": w, "b": np.array(b)}
+        if t > steps // 2:
+            total += np.append(w, b)
+    mean = total / (steps - steps // 2)
+    return {"centre": centre, "scale": scale, "w": mean[:-1], "b": np.array(mean[-1])}
 
 
 def margin(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
@@ -147,8 +153,10 @@ def _gather(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
 
     got = df.mapInArrow(batches, kinds).toArrow()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).astype(np.float32).reshape(-1, FEATURES)
-    return x, np.array(got["y"].to_pylist(), np.int64)
+    # rows arrive in any order; the fit draws them by position, so they are put in one
+    rows = sorted(zip(got["y"].to_pylist(), got["x"].to_pylist(), strict=True))
+    x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).astype(np.float32).reshape(-1, FEATURES)
+    return x, np.array([r[0] for r in rows], np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, parts: int = 4, held_out: int = 2) -> dict:
