@@ -208,6 +208,40 @@ for _kind, _sql in (("semi", ""), ("anti", "NOT")):
     )
 
 
+# -- the same joins over whole tables; those above keep the filters that their SQL has
+
+_WHOLE = """WITH l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 100 END AS k FROM customer),
+r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 500 = 0 THEN NULL ELSE o_orderkey % 1000 END AS k FROM orders)
+"""
+
+
+def _whole_sides(spark, sf_dir):
+    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey") % 100).alias("k"))
+    right = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 500 != 0, F.col("o_orderkey") % 1000).alias("k"))
+    return left, right
+
+
+@query("SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM part a JOIN part b ON abs(a.p_partkey - b.p_partkey) <= 3")
+def whole_band_join(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    return _pairs(J.band_join(part, "p_partkey", part, "p_partkey", 3))
+
+
+for _how, _sql in (("none", ""), ("left", "LEFT"), ("right", "RIGHT"), ("both", "FULL")):
+    for _join in (J.sort_merge_join, J.hash_join):
+        query(f"{_WHOLE} SELECT l.id AS left_id, l.k AS left_k, r.id AS right_id, r.k AS right_k FROM l {_sql} JOIN r ON l.k IS NOT DISTINCT FROM r.k", f"whole_{_join.__name__}_{_how}")(
+            lambda spark, sf_dir, join=_join, how=_how: J.flat(join((s := _whole_sides(spark, sf_dir))[0], ["k"], s[1], ["k"], how))
+        )
+for _kind, _sql in (("semi", ""), ("anti", "NOT")):
+    for _semi in (J.sort_merge_semi_join, J.hash_semi_join):
+        query(f"{_WHOLE} SELECT id, k FROM l WHERE {_sql} EXISTS (SELECT 1 FROM r WHERE l.k IS NOT DISTINCT FROM r.k)", f"whole_{_semi.__name__.replace('_semi_join', '')}_{_kind}_join")(
+            lambda spark, sf_dir, join=_semi, kind=_kind: join((s := _whole_sides(spark, sf_dir))[0], ["k"], s[1], ["k"], kind)
+        )
+    query(f"{_WHOLE} SELECT id, k FROM l WHERE {_sql} EXISTS (SELECT 1 FROM r WHERE l.k = r.k)", f"whole_nested_loop_{_kind}_join")(
+        lambda spark, sf_dir, kind=_kind: J.nested_loop_semi_join(*_whole_sides(spark, sf_dir), "l.k = r.k", kind, ("l", "r"))
+    )
+
+
 # -- aggregation ------------------------------------------------------------
 
 
