@@ -1,7 +1,10 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; each is normalised (lower case, only letters and
-digits, single blanks) and looked up among known licence sentences.  The numbers
+A text is normalised (lower case, only letters and digits, single blanks, so that
+comment marks go) with marks where sentences and lines end, and known licence
+sentences are looked up in it.  A sentence stands between two marks and may be
+wrapped over several lines; the long ones of licence texts and notices (NOTICES)
+may also stand inside a longer sentence or be cut by other marks.  The numbers
 of the known ones, in the order of the text, form a sequence, against which
 ordered rules are matched: a rule is a run of sentence numbers, and what a rule
 has taken is gone for those after it, so specific rules come first.
@@ -9,8 +12,8 @@ has taken is gone for those after it, so specific rules come first.
 The rules are small fixed tables and part of the plan; texts are read once and
 nothing is shuffled.
 
-Defined cases: null and empty texts have no sentences and no licence; a line
-break ends a sentence; a sentence may occur many times and each run counts;
+Defined cases: null and empty texts have no sentences and no licence; a sentence
+may begin and end at a line break; a sentence may occur many times and each run counts;
 repeated rows give repeated rows; extra columns take no part; an empty table
 gives an empty result.
 """
@@ -88,21 +91,36 @@ RULES = [
     ("public-domain", [60]),
     ("all-rights-reserved", [90]),
 ]
+#: Sentences so long that they are known wherever they stand.
+NOTICES = {4, 5, 6, 12, 14, 22, 23, 24, 40, 43}
+#: Sentence 43 with any holder's name.
+HOLDER = ("neither the name of the copyright holder nor", r"neither the name of (?:[^ ]+ ){1,15}?nor")
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ENDS, OTHER = r"[.!?;:]+[ \t\r\n]+|\n", r"[^\x30-\x39\x61-\x7A\x{80}-\x{10FFFF}]+"
+# capitals are marks: A where a sentence ends, B where only a line does
+ENDS, OTHER = r"[.!?;:]+[ \t\r\n]+", r"[^\x30-\x39\x61-\x7A\x{80}-\x{10FFFF}AB]+"
 
 
-def known_ids(text: Column, sentences: dict[int, str] = SENTENCES) -> Column:
-    """Numbers of the known sentences of a text, in its order.
+def _pattern(sentences: dict[int, str], notices: set[int]) -> str:
+    """All sentences in a text with marks, longer ones first."""
 
-    Pieces that cannot be a known sentence by their length are dropped before any of them is normalised.
-    """
-    shortest = min(map(len, sentences.values()))
-    pieces = F.filter(F.split(F.concat(F.coalesce(text, F.lit("")), F.lit(" ")), ENDS), lambda s: F.length(s) >= shortest)
-    plain = F.transform(pieces, lambda s: F.btrim(F.regexp_replace(F.translate(s, UPPER, LOWERED), OTHER, " "), F.lit(" ")))
-    found = F.filter(plain, lambda s: s.isin(list(sentences.values())))
+    def known(inside: bool, gap: str) -> str:
+        some = sorted((s for n, s in sentences.items() if (n in notices) == inside), key=len, reverse=True)
+        return "|".join(s.replace(*HOLDER).replace(" ", gap) if s.startswith(HOLDER[0]) and inside else s.replace(" ", gap) for s in some)
+
+    bounded, anywhere = known(False, " (?:B )?+"), known(True, " (?:[AB] )*+")
+    ways = ([rf"(?<=[AB] )(?:{bounded})(?= [AB] )"] if bounded else []) + ([rf"(?:{anywhere})(?= )"] if anywhere else [])
+    return rf"(?<= )(?:{'|'.join(ways)})"
+
+
+def known_ids(text: Column, sentences: dict[int, str] = SENTENCES, notices: set[int] = NOTICES) -> Column:
+    """Numbers of the known sentences of a text, in its order."""
+    lowered = F.translate(F.concat(F.coalesce(text, F.lit("")), F.lit(" ")), UPPER, LOWERED)
+    marked = F.concat(F.lit(" A "), F.replace(F.regexp_replace(lowered, ENDS, " A "), F.lit("\n"), F.lit(" B ")), F.lit(" A "))
+    plain = F.regexp_replace(marked, OTHER, " ")
+    found = F.regexp_extract_all(plain, F.lit(_pattern(sentences, notices)), F.lit(0))
+    whole = F.transform(found, lambda s: F.regexp_replace(F.regexp_replace(s, " (?:[AB] )+", " "), f"^{HOLDER[1]}", HOLDER[0]))
     numbers = F.create_map(*[F.lit(x) for n, s in sentences.items() for x in (s, n)])
-    return F.transform(found, lambda s: F.element_at(numbers, s))
+    return F.transform(whole, lambda s: F.element_at(numbers, s))
 
 
 def scan(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules: list[tuple[str, list[int]]] = RULES) -> DataFrame:
