@@ -17,6 +17,8 @@ from relplan.sources import shared
 
 #: A document stays if its calibrated chance of being good is at least this.
 GOOD = 0.7
+#: Benchmark items of fewer words can't tell a leak from common speech.
+LEAST_WORDS = 5
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +43,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a run of eight words of any benchmark item; shorter items can't tell a leak from common speech and don't count here."""
+    """Documents without a run of eight words of any benchmark item, or a whole item of five to seven; shorter items don't count here."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    long_items = items.where(F.size(winnow.words(F.col("text"))) >= winnow.SPAN)
-    leaked = winnow.contamination(docs.select("doc_id", "text"), long_items, least_items=1).where("contaminated").select("doc_id").distinct()
+    telling = items.where(F.size(winnow.words(F.col("text"))) >= LEAST_WORDS)
+    leaked = winnow.contamination(docs.select("doc_id", "text"), telling, least_items=1).where("contaminated").select("doc_id").distinct()
     return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti")
 
 
