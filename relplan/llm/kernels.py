@@ -17,7 +17,7 @@ U64 = np.uint64
 CHUNK = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-#: A random value for each byte; the hash of a word is a polynomial in them modulo 2**64.
+#: A random value for each byte, for rolling hashes of short k-grams of bytes; they only find candidates.
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = int(_rng.integers(1, 2**62)) * 2 + 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -100,21 +100,79 @@ def words(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE) -> tup
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+_FIRST, _PLACE, _LENGTH = (U64(int(x) * 2 + 1) for x in _rng.integers(1, 2**62, 3))
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number, zeros past the end (len+1)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), U64, padded.data, strides=(1,))
+
+
+def _further(n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For pieces longer than eight bytes: (piece, block) of each block of eight after the first, and where each piece's begin."""
+    more = (n - 1) // 8
+    begin = np.cumsum(more) - more
+    return np.repeat(np.arange(len(n)), more), np.arange(int(more.sum())) - np.repeat(begin, more) + 1, begin
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each piece data[start:end]; pieces are in order and don't overlap."""
+    """A 64-bit hash of each piece data[start:end]; pieces are in order and don't overlap.
+
+    The sum of a mixed value for each block of eight bytes, keyed by its place;
+    one block and a length decide it for pieces of up to eight bytes.
+    """
     out = np.empty(len(starts), U64)
     lo = 0
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK, "right")))
-        at, to = int(starts[lo]), int(ends[hi - 1])
-        pow_, inv = powers(to - at + 1)  # an empty piece may begin at the end
-        total = np.empty(to - at + 1, U64)
-        total[0] = 0
-        np.cumsum(BYTE_VALUE[data[at:to]] * pow_[:-1], out=total[1:])
-        s = starts[lo:hi] - at
-        out[lo:hi] = (total[ends[lo:hi] - at] - total[s]) * inv[s]
+        at = int(starts[lo])
+        eight = _eights(data[at : int(ends[hi - 1])])
+        s, n = starts[lo:hi] - at, ends[lo:hi] - starts[lo:hi]
+        total = mix((eight[s] & _MASK[np.minimum(n, 8)]) + _FIRST)
+        long = np.flatnonzero(n > 8)
+        if len(long):
+            of, j, begin = _further(n[long])
+            block = eight[s[long][of] + 8 * j] & _MASK[np.minimum(n[long][of] - 8 * j, 8)]
+            total[long] += np.add.reduceat(mix(block ^ mix(j.astype(U64) * _PLACE)), begin)
+        out[lo:hi] = mix(total ^ (n.astype(U64) * _LENGTH))
         lo = hi
-    return mix(out)
+    return out
+
+
+def alike(data: np.ndarray, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from ``one`` on are those from ``two`` on, for each triple."""
+    eight = _eights(data)
+    mask = _MASK[np.minimum(n, 8)]
+    same = (eight[one] & mask) == (eight[two] & mask)
+    long = np.flatnonzero((n > 8) & same)
+    if len(long):
+        of, j, begin = _further(n[long])
+        mask = _MASK[np.minimum(n[long][of] - 8 * j, 8)]
+        differs = (eight[one[long][of] + 8 * j] & mask) != (eight[two[long][of] + 8 * j] & mask)
+        same[long] = np.add.reduceat(differs.astype(np.int64), begin) == 0
+    return same
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each piece, index of one piece for each number): equal numbers are equal bytes.
+
+    Hashes bring candidates together, and bytes decide.
+    """
+    order, first = groups(hashes(data, starts, ends) if codes is None else codes)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.repeat(np.arange(len(first)), sizes(first, len(order)))
+    sample, n = order[first], ends - starts
+    like = sample[number] if len(order) else order
+    wrong = np.flatnonzero((n != n[like]) | ~alike(data, starts, starts[like], np.minimum(n, n[like])))
+    if len(wrong):  # different pieces share a hash
+        known: dict[bytes, int] = {}
+        for i in wrong.tolist():
+            number[i] = known.setdefault(data[starts[i] : ends[i]].tobytes(), len(sample) + len(known))
+        sample = np.concatenate([sample, wrong[np.unique(number[wrong], return_index=True)[1]]])
+    return number, sample
 
 
 def grams(codes: np.ndarray, k: int) -> np.ndarray:
@@ -128,6 +186,33 @@ def grams(codes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All indices of the ranges start .. start+length-1, one range after another."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def runs(*breaks: np.ndarray) -> np.ndarray:
+    """First index of each run; a run ends where any of the arrays of n-1 flags is set."""
+    n = len(breaks[0]) + 1
+    flag = np.ones(n, bool)
+    flag[1:] = breaks[0]
+    for b in breaks[1:]:
+        flag[1:] |= b
+    return np.flatnonzero(flag)
+
+
+def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal keys side by side, and where each group of them begins in it."""
+    order = np.argsort(keys)
+    sorted_ = keys[order]
+    return order, runs(sorted_[1:] != sorted_[:-1]) if len(keys) else np.zeros(0, np.int64)
+
+
+def sizes(first: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(first, n))
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """The minimum of each run of w values (len-w+1)."""
     have = 1

@@ -10,12 +10,17 @@ candidates, and every candidate pair that matters is verified on full sets.
 
 First every document is verified against one other, the leader of its buckets
 that it shares most bands with; the leader of a bucket is the member that meets
-most others over all its buckets.  Linked documents merge.  Buckets that still
-hold two components are then compared in full, in blocks: a block has a bounded
-number of members and bytes, every pair of blocks of a bucket is one task's
-group, and a group sends on at most one link for each merger it sees.  Only pairs
-inside one component are skipped, so no link between components is lost but
-those that share no band (below 1 in a million at the threshold).
+most others over all its buckets.  Linked documents merge.  Of buckets that still
+hold two components, members first meet by size and by one byte of each bin: who
+has no likely partner in another component leaves.  A pair at the threshold
+passes but with a chance below 1e-7, less than that of sharing no band.  The
+others are compared in full, in blocks: a block has a bounded number of members
+and bytes, every pair of blocks of a bucket is one task's group, and a group
+sends on at most one link for each merger it sees.  Only pairs inside one
+component are skipped, so no link between components is lost otherwise.
+
+Hashes of shingles only reject; what they accept is confirmed on the words
+themselves.  Documents of equal words (by SHA-256) are one class from the start.
 
 Defined cases: null and empty texts, and texts without words, have no shingles
 and link with nothing; fewer than five words are one shingle; equal ids count as
@@ -25,6 +30,7 @@ an empty table gives an empty result; other columns take no part.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,11 +111,13 @@ def _sketched(k: int, t: int, width: int):
                 value, counts = sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
                 n = np.diff(counts)
                 some = n > 0
-                keys = bands(sketch(value, counts, t)[some], width)
+                bins = sketch(value, counts, t)[some]
+                keys = bands(bins, width)
                 ends = np.concatenate([[0], np.cumsum(np.where(some, keys.shape[1], 0))]).astype(np.int32)
-                one, two = (np.concatenate([np.zeros(1, K.U64), np.cumsum(v)]) for v in (value, K.mix(value ^ _SEED[0])))
-                columns = [(x[counts[1:]] - x[counts[:-1]]).view(np.int64) for x in (one, two)]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n.astype(np.int64)), *map(pa.array, columns), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))], ["doc_id", "n_shingles", "h1", "h2", "bands"])
+                low = iter(np.ascontiguousarray((bins & K.U64(255)).astype(np.uint8)))
+                short = [next(low).tobytes() if x else None for x in some]
+                same = [hashlib.sha256(b" ".join(data[offsets[i] : offsets[i + 1]].tobytes().lower().split())).digest() if some[i - lo] else None for i in range(lo, hi)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(same, pa.binary()), pa.array(short, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))], ["doc_id", "n_shingles", "same", "short", "bands"])
 
     return batches
 
@@ -127,21 +135,34 @@ def full_set(body: bytes, k: int) -> np.ndarray:
     return sets(raw, np.array([0, len(raw)]), k)[0]
 
 
+def word_set(body: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    words = loosened(body).lower().split()
+    return set(zip(*(words[i:] for i in range(k)), strict=False)) if len(words) >= k else {tuple(words)}
+
+
+def surely(x: set, y: set, percent: int) -> bool:
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _confirmed(k: int, percent: int):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
+        spelt: dict[bytes, set] = {}
 
-        def full(body: bytes) -> np.ndarray:
-            if body not in known:
-                if len(known) >= 64:
-                    known.clear()
-                known[body] = full_set(body, k)
-            return known[body]
+        def kept(body: bytes, table: dict, make, most: int):
+            if body not in table:
+                if len(table) >= most:
+                    table.clear()
+                table[body] = make(body, k)
+            return table[body]
 
         for batch in it:
             ok = []
             for a, b in zip(batch.column("body_a"), batch.column("body_b"), strict=True):
-                x, y = full(a.as_py()), full(b.as_py())
+                a, b = a.as_py(), b.as_py()
+                x, y = (kept(z, known, full_set, 64) for z in (a, b))
                 small, large = min(len(x), len(y)), max(len(x), len(y))
                 if 100 * small < percent * large:
                     ok.append(False)
@@ -149,7 +170,7 @@ def _confirmed(k: int, percent: int):
                 both = np.concatenate([x, y])
                 both.sort()
                 both_have = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * both_have >= percent * (len(both) - both_have))
+                ok.append(100 * both_have >= percent * (len(both) - both_have) and surely(*(kept(z, spelt, word_set, 4) for z in (a, b)), percent))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
@@ -202,7 +223,8 @@ def _compared(k: int, percent: int):
         K.give_back()
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         node, comp, block = (np.asarray(group[c]) for c in ("node", "comp", "block"))
-        values = [full_set(x, k) for x in group["body"].to_pylist()]
+        bodies = group["body"].to_pylist()
+        values = [full_set(x, k) for x in bodies]
         n = np.array([len(v) for v in values])
         row, value = np.repeat(np.arange(len(n)), n), np.concatenate(values)
         order = np.argsort(value)
@@ -231,7 +253,7 @@ def _compared(k: int, percent: int):
         found = []
         for x, y in np.argwhere(np.triu(close, 1)).tolist():
             one, two = root(int(comp[x])), root(int(comp[y]))
-            if one != two:
+            if one != two and surely(word_set(bodies[x], k), word_set(bodies[y], k), percent):
                 label[max(one, two)] = min(one, two)
                 found.append((node[x], node[y]))
         return pa.table([pa.array([f[c] for f in found], pa.int64()) for c in (0, 1)], ["a", "b"])
@@ -239,14 +261,46 @@ def _compared(k: int, percent: int):
     return group_of
 
 
+def _likely(percent: int, t: int):
+    """Members of two blocks that may have a partner in another component, by their sizes and short sketches."""
+    share = percent / 100
+    need = t * share - 8 * (t * share * (1 - share)) ** 0.5
+
+    def group_of(group: pa.Table) -> pa.Table:
+        i, j = group["i"][0].as_py(), group["j"][0].as_py()
+        node, comp, block, n = (np.asarray(group[c]) for c in ("node", "comp", "block", "n_shingles"))
+        short = np.frombuffer(b"".join(group["short"].to_pylist()), np.uint8).reshape(len(node), t)
+        close = np.zeros(len(node), bool)
+        for lo in range(0, len(node), 64):
+            part = slice(lo, lo + 64)
+            may = (comp[part, None] != comp) & (100 * np.minimum(n[part, None], n) >= percent * np.maximum(n[part, None], n))
+            if i != j:
+                may &= block[part, None] != block
+            x, y = np.nonzero(may)
+            for a in range(0, len(x), 1 << 15):
+                u, v = x[a : a + (1 << 15)] + lo, y[a : a + (1 << 15)]
+                hit = (short[u] == short[v]).sum(1) >= need
+                close[u[hit]], close[v[hit]] = True, True
+        return pa.table([group["key"].filter(pa.array(close)), pa.array(node[close]), pa.array(comp[close])], ["key", "node", "comp"])
+
+    return group_of
+
+
+def _dealt(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every pair of blocks (i, j) of a bucket with their members; blocks: (key, blocks)."""
+    dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
+
+
 def groups(docs: DataFrame, percent: int = 85, k: int = SHINGLE, coordinates: int = COORDINATES, band: int = BAND, block_rows: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = shared.keep(plain.mapInArrow(_sketched(k, coordinates, band), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "sketches")
-    same = ["h1", "h2", "n_shingles"]
+    table = shared.keep(plain.mapInArrow(_sketched(k, coordinates, band), "doc_id long, n_shingles long, same binary, short binary, bands array<long>"), "sketches")
+    same = ["same"]
     classes = shared.keep(table.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
-    first = table.select("doc_id", *same, "bands").join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *same], "left_semi")
+    first = table.select("doc_id", "n_shingles", *same, "short", "bands").join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *same], "left_semi")
     keyed = shared.keep(first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("node")), "keys")
     crowded = shared.keep(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     buckets = shared.keep(keyed.join(crowded, "key"), "buckets")
@@ -266,21 +320,22 @@ def groups(docs: DataFrame, percent: int = 85, k: int = SHINGLE, coordinates: in
     several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ = shared.keep(open_.join(shared.keep(several, "several"), "key"), "open")
     if not open_.isEmpty():
-        weighed = open_.join(texts.select("node", F.octet_length("body").alias("bytes")), "node")
+        short = shared.keep(first.select(F.col("doc_id").alias("node"), "n_shingles", "short").join(open_.select("node").distinct(), "node", "left_semi"), "short")
+        extent = open_.groupBy("key").agg(F.ceil(F.count("*") / (4 * block_rows)).cast("int").alias("blocks"))
+        met_again = _dealt(open_, shared.keep(extent, "extent")).join(short, "node").groupBy("key", "i", "j").applyInArrow(_likely(percent, coordinates), "key long, node long, comp long")
+        left = shared.keep(met_again.distinct(), "likely")
+        weighed = left.join(texts.select("node", F.octet_length("body").alias("bytes")), "node")
         extent = weighed.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block_rows, F.sum("bytes") / block_bytes)).cast("int").alias("blocks"))
-        dealt = open_.join(shared.keep(extent, "extent"), "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
-        links = dealt.join(texts, "node").groupBy("key", "i", "j").applyInArrow(_compared(k, percent), "a long, b long")
+        links = _dealt(left, shared.keep(extent, "extent")).join(texts, "node").groupBy("key", "i", "j").applyInArrow(_compared(k, percent), "a long, b long")
         labels = merged(labels, shared.keep(links, "links"))
 
-    named = table.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("component_id"))
+    named = table.select("doc_id", "n_shingles", *same).join(classes, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("component_id"))
     named = relabelled(shared.keep(named, "named"), "component_id", labels)
     return named.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group, all columns; of rows with equal ids one stays, rows without id all."""
+    """The rows of ``docs`` with the smallest id of their group, all columns; of rows with equal ids and texts one stays, rows without id all."""
     gone = shared.keep(groups(docs.select("doc_id", "text"), **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
     again = shared.keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
@@ -288,8 +343,8 @@ def first_of_each(docs: DataFrame, **options) -> DataFrame:
         return left
     same = F.col("doc_id") == F.col("_again")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    # the least row by id and text; columns may be of any type, so they are carried and not compared
-    one = left.join(again, same, "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct(F.col("text").isNull(), "text")).alias("row"))
+    # columns may be of any type, so they are carried and not compared
+    one = left.join(again, same, "left_semi").groupBy("doc_id", F.sha2("text", 256).alias("_text")).agg(F.any_value(row).alias("row"))
     return left.join(again, same, "left_anti").unionByName(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from relplan.sources import shared
 
 from . import kernels as K
+from .kernels import groups, runs, sizes, spread
 
 LOW = np.uint64(32)
 LAST = np.iinfo(np.int64).max
@@ -96,33 +97,6 @@ BYTES = Units(words=False, span=50, k=20, q=25, within=False)
 WORDS = Units(words=True, span=20, k=5, q=10, within=True)
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All indices of the ranges start .. start+length-1, one range after another."""
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
-
-
-def runs(*breaks: np.ndarray) -> np.ndarray:
-    """First index of each run; a run ends where any of the arrays of n-1 flags is set."""
-    n = len(breaks[0]) + 1
-    flag = np.ones(n, bool)
-    flag[1:] = breaks[0]
-    for b in breaks[1:]:
-        flag[1:] |= b
-    return np.flatnonzero(flag)
-
-
-def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts equal keys side by side, and where each group of them begins in it."""
-    order = np.argsort(keys)
-    sorted_ = keys[order]
-    return order, runs(sorted_[1:] != sorted_[:-1]) if len(keys) else np.zeros(0, np.int64)
-
-
-def sizes(first: np.ndarray, n: int) -> np.ndarray:
-    return np.diff(np.append(first, n))
-
-
 def classes(units: Units, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Groups (order, first) of equal windows codes[start:start+span].
 
