@@ -104,7 +104,7 @@ _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 _FIRST, _PLACE, _LENGTH = (U64(int(x) * 2 + 1) for x in _rng.integers(1, 2**62, 3))
 
 
-def _eights(data: np.ndarray) -> np.ndarray:
+def eights(data: np.ndarray) -> np.ndarray:
     """The eight bytes from every position on as one number, zeros past the end (len+1)."""
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
@@ -129,7 +129,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     while lo < len(starts):
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + CHUNK, "right")))
         at = int(starts[lo])
-        eight = _eights(data[at : int(ends[hi - 1])])
+        eight = eights(data[at : int(ends[hi - 1])])
         s, n = starts[lo:hi] - at, ends[lo:hi] - starts[lo:hi]
         total = mix((eight[s] & _MASK[np.minimum(n, 8)]) + _FIRST)
         long = np.flatnonzero(n > 8)
@@ -144,7 +144,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 def alike(data: np.ndarray, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Whether the n bytes from ``one`` on are those from ``two`` on, for each triple."""
-    eight = _eights(data)
+    eight = eights(data)
     mask = _MASK[np.minimum(n, 8)]
     same = (eight[one] & mask) == (eight[two] & mask)
     long = np.flatnonzero((n > 8) & same)

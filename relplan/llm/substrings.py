@@ -5,8 +5,8 @@ The smallest hash among the k-grams of a window is its anchor: equal windows hav
 equal anchors wherever they stand.  The work goes in five steps, all of them
 plain shuffles of bounded groups:
 
-Copies of whole texts are found first, by 128 bits of hash and the length: all but the
-first go without further work.
+Copies of whole texts are found first, by SHA-256: all but the first go without
+further work.
 
 1. every batch of documents sends its distinct anchors to the anchors' parts;
 2. a part returns the anchors seen twice to the document buckets they came from;
@@ -16,9 +16,13 @@ first go without further work.
 4. a part decides which of those windows occur earlier in another bucket;
 5. each bucket removes what steps 3 and 4 found.
 
-Equality of windows is decided by bucket-pointer refinement (:func:`classes`):
-positions fall into buckets by their first q units, and a bucket is refined by
-the bucket numbers found q units further on, until the span is covered.
+Hashes only bring windows together.  Equal windows of bytes are found by
+bucket-pointer refinement (:func:`classes`): positions fall into buckets by their
+first eight bytes, and every pass refines a bucket by the bucket numbers found as
+many bytes further on as the last one had settled, until the span is covered.
+Windows of words are found by suffix automata (:mod:`.automata`): the runs that
+have come together are dealt into bounded reference shards, and all later runs
+stream through each shard's automaton.  Words are numbered by their bytes.
 
 Defined cases: null and empty texts have no units and nothing removed; documents
 shorter than the span stay; rows without id come after all others; rows of equal
@@ -39,6 +43,7 @@ from pyspark.sql import functions as F
 
 from relplan.sources import shared
 
+from . import automata
 from . import kernels as K
 from .kernels import groups, runs, sizes, spread
 
@@ -53,7 +58,6 @@ class Units:
     words: bool
     span: int
     k: int
-    q: int
     within: bool  # a repetition inside one document counts
 
     @property
@@ -61,7 +65,7 @@ class Units:
         return self.span - self.k + 1
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the units, and how many come before each row."""
+        """Codes of the units, hashes if they are words, and how many come before each row."""
         if not self.words:
             return data, offsets
         starts, ends, counts = K.words(data, offsets)
@@ -93,31 +97,36 @@ class Units:
         return at, K.sliding_min(grams, self.width)[at], grams
 
 
-BYTES = Units(words=False, span=50, k=20, q=25, within=False)
-WORDS = Units(words=True, span=20, k=5, q=10, within=True)
+BYTES = Units(words=False, span=50, k=20, within=False)
+WORDS = Units(words=True, span=20, k=5, within=True)
 
 
 def classes(units: Units, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Groups (order, first) of equal windows codes[start:start+span].
+    """Groups (order, first) of equal windows codes[start:start+span]; codes are bytes or numbers of words.
 
-    Buckets of q-grams come first; then bucket numbers are refined by those at
-    later offsets, each pass reusing the numbers of the last and reaching twice
-    as far, until the span is covered.
+    Buckets of eight bytes or one word come first; then bucket numbers are refined
+    by those at later offsets, each pass reusing the numbers of the last and
+    reaching twice as far, until the span is covered.
     """
-    depth, reach = units.q, [0]
+    depth, reach = 1 if units.words else 8, [0]
+    begun = depth
     while depth < units.span:  # offsets whose bucket numbers the passes need, from the last one back
         step = min(depth, units.span - depth)
         depth += step
         reach = [*reach, *(r + step for r in reach)]
     index = np.int32 if len(codes) < 2**31 - units.span else np.int64
     need = np.zeros(len(codes) + 1, bool)
-    for offset in reach:
+    for offset in sorted(set(reach)):
         need[starts + offset] = True
     where = np.flatnonzero(need).astype(index)
     del need
     bucket = np.zeros(len(codes) + 1, np.uint32)
-    bucket[where] = _buckets(units, codes, where)
-    depth = units.q
+    if units.words:
+        bucket[:-1] = codes
+    else:
+        order, first = groups(K.eights(codes)[where])
+        bucket[where[order]] = np.repeat(np.arange(len(first), dtype=np.uint32), sizes(first, len(order)))
+    depth = begun
     while depth < units.span:
         step = min(depth, units.span - depth)
         depth += step
@@ -136,30 +145,6 @@ def classes(units: Units, codes: np.ndarray, starts: np.ndarray) -> tuple[np.nda
     return groups(bucket[starts])
 
 
-def _buckets(units: Units, codes: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """Exact bucket numbers of the q-grams at some positions, found through a hash and checked unit by unit."""
-    q = units.q
-    order, first = groups(units.grams(codes, q)[where])
-    if units.words:
-        columns, steps = codes, range(q)
-    else:  # eight bytes from any position on, as one number
-        codes = np.ascontiguousarray(codes)
-        columns, steps = np.ndarray((len(codes) - 7,), K.U64, codes.data, strides=(1,)), sorted({*range(0, q - 7, 8), q - 8})
-    begins = np.zeros(len(order) + 1, bool)
-    begins[first] = True
-    unequal = False
-    for lo in range(1, len(order), 1 << 18):
-        pairs = lo + np.flatnonzero(~begins[lo : min(lo + (1 << 18), len(order))])
-        here, before = where[order[pairs]], where[order[pairs - 1]]
-        unequal = unequal or any((columns[here + j] != columns[before + j]).any() for j in steps)
-    if unequal:  # different q-grams share a hash: number the grams themselves
-        view = np.lib.stride_tricks.sliding_window_view(codes, q)[where]
-        return np.unique(view, axis=0, return_inverse=True)[1].reshape(-1).astype(np.uint32)
-    out = np.empty(len(order), np.uint32)
-    out[order] = np.repeat(np.arange(len(first), dtype=np.uint32), sizes(first, len(order)))
-    return out
-
-
 def later(units: Units, found: tuple[np.ndarray, np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which windows have an equal one that comes earlier; found: groups of equal windows."""
     order, first = found
@@ -177,6 +162,23 @@ def later(units: Units, found: tuple[np.ndarray, np.ndarray], doc: np.ndarray, s
     return out
 
 
+def late_windows(units: Units, codes: np.ndarray, doc: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which windows of some runs have an equal one that comes earlier.
+
+    Run i has ``count[i]`` windows from unit ``begin[i]`` of document ``doc[i]`` on; their units follow each other in ``codes``.
+    """
+    length = count + units.span - 1
+    where = np.cumsum(length) - length
+    order = np.lexsort((begin, doc))
+    d, b, n = doc[order], begin[order], count[order]
+    if units.words and not ((d[1:] == d[:-1]) & (b[1:] < b[:-1] + n[:-1])).any():
+        found = np.zeros(int(count.sum()), bool)
+        found[spread((np.cumsum(count) - count)[order], n)] = automata.repeated(codes, where[order], n, units.span)
+        return found
+    # rows of one id overlap: places are compared one by one
+    return later(units, classes(units, codes, spread(where, count)), np.repeat(doc, count), spread(begin, count))
+
+
 def _key(anchor: np.ndarray, parts: int) -> np.ndarray:
     """A part and 32 bits; parts grow with the corpus, so few anchors ever share a key, and those only add candidates."""
     return ((anchor % K.U64(parts)) << LOW) | (anchor >> LOW)
@@ -226,11 +228,11 @@ def _send(units: Units, parts: int):
             part = (key >> LOW).astype(np.uint16 if parts < 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
             key, own, part = key[order], own[order], part[order].astype(np.int64)
-            ends = np.searchsorted(part, np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(ends))
-            for lo in range(0, len(some), 4096):
-                these = some[lo : lo + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array(these.astype(np.int32)), pa.array([_short(key[ends[p] : ends[p + 1]]) for p in these], pa.binary()), pa.array([own[ends[p] : ends[p + 1]].tobytes() for p in these], pa.binary())], ["part", "keys", "buckets"])
+            first = runs(part[1:] != part[:-1])
+            cut = list(zip(first.tolist(), [*first[1:].tolist(), len(part)], strict=True))
+            for lo in range(0, len(cut), 4096):
+                these = cut[lo : lo + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array(part[first[lo : lo + 4096]].astype(np.int32)), pa.array([_short(key[a:b]) for a, b in these], pa.binary()), pa.array([own[a:b].tobytes() for a, b in these], pa.binary())], ["part", "keys", "buckets"])
 
     return batches
 
@@ -289,6 +291,14 @@ def _rows(rest_type: pa.DataType, **columns) -> pa.Table:
     return pa.table([columns[c] if isinstance(columns.get(c), (pa.Array, pa.ChunkedArray)) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], MOVED)
 
 
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of some words, a blank behind each."""
+    n = ends - starts + 1
+    out = data[np.minimum(spread(starts, n), len(data) - 1)]
+    out[np.cumsum(n) - 1] = 0x20
+    return out
+
+
 def _plain(units: Units, body: bytes) -> bytes:
     return b" ".join(body.split()) if units.words else body
 
@@ -314,9 +324,10 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
         copied = np.array([x in copies for x in zip(left["doc"].to_pylist(), left["hash"].to_pylist(), strict=True)], bool)
         n_units = np.zeros(len(doc), np.int64)
         uid = K.mix(doc.view(K.U64) + np.uint64(1)) ^ K.hashes(data, offsets[:-1], offsets[1:])
-        pieces, begins, lengths, rows, anchors = [], [], [], [], []
+        pieces, begins, lengths, rows, anchors, hashed, sizes_ = [], [], [], [], [], [], []
         for lo, hi in K.slices(offsets, 2 * K.CHUNK):
-            codes, counts = units.cut(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            piece = data[offsets[lo] : offsets[hi]]
+            codes, counts = units.cut(piece, offsets[lo : hi + 1] - offsets[lo])
             n_units[lo:hi] = np.diff(counts)
             at, anchor, _ = units.anchors(codes, counts)
             if not len(at) or not len(known):
@@ -333,7 +344,14 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
             row = np.searchsorted(counts, at, "right") - 1
             first = runs((at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]))
             size = np.diff(np.append(first, len(at)))
-            pieces.append(codes[spread(at[first], size + units.span - 1)])
+            used = spread(at[first], size + units.span - 1)
+            if units.words:
+                starts, ends, _ = K.words(piece, offsets[lo : hi + 1] - offsets[lo])
+                pieces.append(_joined(piece, starts[used], ends[used]))
+                hashed.append(codes[used])
+                sizes_.append((ends - starts)[used])
+            else:
+                pieces.append(codes[used])
             begins.append(at - counts[row])
             rows.append(row + lo)
             anchors.append(key)
@@ -344,9 +362,14 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
         if rows:
             codes, start, row, key, size = (np.concatenate(x) for x in (pieces, begins, rows, anchors, lengths))
             del pieces, begins, rows, anchors, lengths, data
+            if units.words:
+                letters, hashed, long = codes, np.concatenate(hashed), np.concatenate(sizes_)
+                ends = np.cumsum(long + 1) - 1
+                codes = K.distinct(letters, ends - long, ends, hashed)[0].astype(np.uint32)
             before = np.cumsum(size + units.span - 1) - (size + units.span - 1)
             where = spread(before, size)
-            late = later(units, classes(units, codes, where), doc[row], start)
+            head = np.cumsum(size) - size
+            late = late_windows(units, codes, doc[row[head]], start[head], size)
             pending[row] = True
             flagged = np.flatnonzero(late)
             if len(flagged):
@@ -369,7 +392,8 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
                 begin, row_of = s[first], r[first]
                 for a, b in zip(cut, cut[1:]):
                     own_rows, index = np.unique(row_of[a:b], return_inverse=True)
-                    body = codes[spread(w[first[a:b]], count[a:b] + units.span - 1)].tobytes()
+                    used = spread(w[first[a:b]], count[a:b] + units.span - 1)
+                    body = (_joined(letters, (ends - long)[used], ends[used]) if units.words else codes[used]).tobytes()
                     head = np.array([len(own_rows)]).tobytes() + doc[own_rows].tobytes() + uid[own_rows].tobytes() + index.astype(np.uint32).tobytes() + begin[a:b].astype(np.uint32).tobytes() + count[a:b].astype(np.uint32).tobytes()
                     out.append((int(buckets + part[a]), squeezed(body), head, bucket))
         shas, bodies = [], []
@@ -390,7 +414,6 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
 
 def _resolve(units: Units, buckets: int):
     """Step 4; documents pass through."""
-    kind = K.U64 if units.words else np.uint8
 
     def part_of(group: pa.Table) -> pa.Table:
         K.give_back()
@@ -399,12 +422,13 @@ def _resolve(units: Units, buckets: int):
         heads = [_head(x) for x in group["marks"].to_pylist()]
         source = np.repeat(group["n"].to_pylist(), [h.shape[1] for h in heads])
         doc, uid, begin, count = np.concatenate(heads, axis=1)
-        codes = np.concatenate([np.frombuffer(loosened(x.as_py()), kind) for c in group["body"].chunks for x in c])
-        length = count + units.span - 1
-        where = spread(np.cumsum(length) - length, count)
+        codes = np.concatenate([np.frombuffer(loosened(x.as_py()), np.uint8) for c in group["body"].chunks for x in c])
+        if units.words:
+            starts, ends, _ = K.words(codes, np.array([0, len(codes)]))
+            codes = K.distinct(codes, starts, ends)[0].astype(np.uint32)
         seg = np.repeat(np.arange(len(doc)), count)
         start = spread(begin, count)
-        late = later(units, classes(units, codes, where), doc[seg], start)
+        late = late_windows(units, codes, doc, begin, count)
         seg, start = seg[late], start[late]
         rest_type = group.schema.field("rest").type
         if not len(seg):
@@ -496,21 +520,22 @@ def remove_repeats(docs: DataFrame, units: Units, texts: bool = False, bucket_by
     spark_text = F.coalesce(F.col("text"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(spark_text))).first()[0] or 0
     buckets = max(least, total // bucket_bytes + 1)
-    parts = int(min(1 << 23, max(least, total // bucket_bytes + 1)))
+    parts = int(min(1 << 30, max(least, total // bucket_bytes + 1)))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))), F.lit(buckets)).cast("int")
+    content = F.unhex(F.sha2("text", 256))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    own = docs.select(rest.alias("rest"), doc.alias("doc"), F.xxhash64(spark_text).alias("hash"), bucket.alias("bucket"), spark_text.alias("text"))
+    own = docs.select(rest.alias("rest"), doc.alias("doc"), content.alias("hash"), bucket.alias("bucket"), spark_text.alias("text"))
     sent = own.select("text", "bucket").mapInArrow(_send(units, parts), "part int, keys binary, buckets binary")
     known = sent.groupBy("part").applyInArrow(_return, "bucket int, part int, keys binary")
-    whole = docs.where(F.octet_length("text") >= units.span).select(doc.alias("doc"), bucket.alias("bucket"), F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(1), "text").alias("hash2"), F.octet_length("text").alias("size"))
-    firsts = whole.groupBy("hash", "hash2", "size").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hash", "hash2", "size", "first")
+    whole = docs.where(F.octet_length("text") >= units.span).select(doc.alias("doc"), bucket.alias("bucket"), content.alias("hash"))
+    firsts = whole.groupBy("hash").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("hash", "first")
     firsts = shared.keep(firsts, "firsts")  # a table of its own, so that Spark can split the join at a large group of copies
-    copies = whole.join(firsts, ["hash", "hash2", "size"]).where("doc > first").select("bucket", "doc", "hash")
-    told = known.select("bucket", "part", "keys", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("long").alias("hash")).unionByName(copies, allowMissingColumns=True)
+    copies = whole.join(firsts, "hash").where("doc > first").select("bucket", "doc", "hash")
+    told = known.select("bucket", "part", "keys", F.lit(None).cast("long").alias("doc"), F.lit(None).cast("binary").alias("hash")).unionByName(copies, allowMissingColumns=True)
     rest_type = own.schema["rest"].dataType.simpleString()
     moved = f"target int, uid long, rest {rest_type}, body binary, marks binary, n long, sha string"
-    packed = own.mapInArrow(_squeeze, f"rest {rest_type}, doc long, hash long, bucket int, body binary")
+    packed = own.mapInArrow(_squeeze, f"rest {rest_type}, doc long, hash binary, bucket int, body binary")
     local = packed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_local(units, buckets, parts, texts), moved)
     resolved = local.groupBy("target").applyInArrow(_resolve(units, buckets), moved)
     final = f"rest {rest_type}, n_units long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary, cuts array<long>" if texts else "")
