@@ -291,7 +291,7 @@ def _rows(rest_type: pa.DataType, **columns) -> pa.Table:
     return pa.table([columns[c] if isinstance(columns.get(c), (pa.Array, pa.ChunkedArray)) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], MOVED)
 
 
-def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The bytes of some words, a blank behind each."""
     n = ends - starts + 1
     out = data[np.minimum(spread(starts, n), len(data) - 1)]
@@ -347,7 +347,7 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
             used = spread(at[first], size + units.span - 1)
             if units.words:
                 starts, ends, _ = K.words(piece, offsets[lo : hi + 1] - offsets[lo])
-                pieces.append(_joined(piece, starts[used], ends[used]))
+                pieces.append(joined(piece, starts[used], ends[used]))
                 hashed.append(codes[used])
                 sizes_.append((ends - starts)[used])
             else:
@@ -393,7 +393,7 @@ def _local(units: Units, buckets: int, parts: int, texts_wanted: bool):
                 for a, b in zip(cut, cut[1:]):
                     own_rows, index = np.unique(row_of[a:b], return_inverse=True)
                     used = spread(w[first[a:b]], count[a:b] + units.span - 1)
-                    body = (_joined(letters, (ends - long)[used], ends[used]) if units.words else codes[used]).tobytes()
+                    body = (joined(letters, (ends - long)[used], ends[used]) if units.words else codes[used]).tobytes()
                     head = np.array([len(own_rows)]).tobytes() + doc[own_rows].tobytes() + uid[own_rows].tobytes() + index.astype(np.uint32).tobytes() + begin[a:b].astype(np.uint32).tobytes() + count[a:b].astype(np.uint32).tobytes()
                     out.append((int(buckets + part[a]), squeezed(body), head, bucket))
         shas, bodies = [], []

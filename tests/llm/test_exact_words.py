@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from brute import base_scores, near, removed
+from brute import base_scores, fold, near, removed
 from test_contracts import frame
 
 from relplan.llm import kernels, lbl, minhash, substrings
@@ -47,15 +47,10 @@ def test_repeats(spark, size):
 
 @SIZES
 def test_counts(spark, size):
-    docs = [(1, twins(size)[0]), (2, twins(size)[0]), *[(i, twins(size)[1]) for i in range(40)]]
-    docs = [d for d in docs if d[0] in (1, 2) or lbl_held(d[0])]
+    one, two = twins(size)
+    learn, held = ([i for i in range(60) if (fold(i, 10) == 0) == x][:3] for x in (False, True))
+    docs = [(i, one) for i in learn] + [(i, two) for i in held]
     want = base_scores(docs)
     found = {r.doc_id: r for r in lbl.score(frame(spark, docs)).collect()}
     assert all((found[i].n_tokens, found[i].n_known, found[i].train_tokens) == w[:3] and found[i].base_score == pytest.approx(w[3]) for i, w in want.items())
-    assert any(w[1] == 1 for w in want.values())
-
-
-def lbl_held(doc_id):
-    from brute import fold
-
-    return fold(doc_id, 10) == 0
+    assert all(want[i][1] == 1 for i in held)
