@@ -1,14 +1,21 @@
 """Quality classifier by positive-unlabelled learning.
 
 A linear model over text statistics and hashed words is fitted by minimising the
-non-negative unbiased risk  pi * R_P(+) + max(0, R_U(-) - pi * R_P(-))  with
-trusted positives P, unlabelled web text U and an estimated class prior pi.
-The fit runs in numpy on the driver over at most ``bound`` rows of each kind,
-chosen by a hash of the id; scoring is one Arrow pass over whole texts.
+non-negative unbiased risk  pi * R_P(+) + max(0, R_U(-) - pi * R_P(-))  under the
+squared loss, with trusted positives P, unlabelled text U and a class prior pi.
+
+U is every text of the table: under that loss its part of the risk needs only
+second moments, which all tasks add up, so nothing of U is sampled.  P is a
+sample of bounded size (``bound``).  The prior is estimated from U: a classifier
+fitted to one half of P gives scores, and the prior is the least ratio of the
+shares of U and of the other half of P above a score, bounds for chance included
+(best bin estimation); both halves take turns.  Scores become probabilities by
+the logistic curve whose mean over U is the prior and whose mean of margins
+weighs what P says.  No negative label is used anywhere.
 
 Defined cases: null and empty texts get the score of an empty text; tables
-without positives give every row the class prior; repeated rows score alike;
-extra columns are ignored.
+without positives give every row 0.5; with one positive the prior is 0.5;
+repeated rows score alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,9 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relplan.sources import shared
+
 from . import kernels as K
 
 BINS = 256
@@ -78,64 +88,90 @@ def _fill(out: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
     x[:, 9:] = np.sqrt(bags / some[:, None])
 
 
+RIDGE, FLOOR, BINS_OF, REACH = 0.1, 0.05, 1 << 14, 4.0
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> dict[str, np.ndarray]:
-    """Weights that minimise the non-negative risk with the logistic loss, by Adam on mini-batches.
+def moments(x: np.ndarray) -> np.ndarray:
+    """Sums of products of the columns and a last one of ones; the last entry is the number of rows."""
+    a = np.concatenate([x, np.ones((len(x), 1))], 1).astype(np.float64)
+    return a.T @ a
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = RIDGE) -> np.ndarray:
+    """Weights, the bias last, that minimise the non-negative risk plus ridge * |w|^2; both sides as moments.
 
-    The pace falls over the second half, whose weights are averaged: the last ones alone depend much on the last batches.
+    Where the negative part of the risk is positive that is one linear system.
+    Otherwise the least risk lies where that part is zero, at the subgradient s in
+    [0, 1] found by halving.
     """
-    both = np.concatenate([positive, unlabelled])
-    centre, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (positive - centre) / scale, (unlabelled - centre) / scale
-    np.clip(p, -8, 8, out=p), np.clip(u, -8, 8, out=u)
-    w, b, rng = np.zeros(p.shape[1]), 0.0, np.random.default_rng(seed)
-    m, v, total = (np.zeros(len(w) + 1) for _ in range(3))
-    for t in range(1, steps + 1):
-        xp, xu = p[rng.integers(0, len(p), 1024)], u[rng.integers(0, len(u), 1024)]
-        zp, zu = xp @ w + b, xu @ w + b
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        # below zero the negative part is over-fitted: step back along it
-        gu, gp = su / len(su), prior * sp / len(sp)
-        dp = -prior * (1 - sp) / len(sp)
-        if negative >= 0:
-            grad = np.append(xp.T @ (dp - gp) + xu.T @ gu, (dp - gp).sum() + gu.sum())
-        else:
-            grad = np.append(xp.T @ gp - xu.T @ gu, gp.sum() - gu.sum())
-        grad[:-1] += decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = rate * min(1.0, 2 * (1 - t / (steps + 1))) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-        if t > steps // 2:
-            total += np.append(w, b)
-    mean = total / (steps - steps // 2)
-    return {"centre": centre, "scale": scale, "w": mean[:-1], "b": np.array(mean[-1])}
-
-
-def margin(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    # summed row by row, so that a text's score doesn't depend on its batch
-    return (np.clip((x - model["centre"]) / model["scale"], -8, 8) * model["w"]).sum(1) + model["b"]
-
-
-def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through trusted labels (Newton steps); identity if one class is missing."""
-    if not (0 < y.sum() < len(y)):
-        return 1.0, 0.0
-    a, b = 0.1, 0.0
-    soft = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    for _ in range(50):
-        p = _sigmoid(a * z + b)
-        g = np.array([((p - soft) * z).sum() + 1e-3 * a, (p - soft).sum()])
-        q = p * (1 - p) + 1e-9
-        h = np.array([[(q * z * z).sum() + 1e-3, (q * z).sum()], [(q * z).sum(), q.sum()]])
+    p, u = positive / positive[-1, -1], unlabelled / unlabelled[-1, -1]
+    reg = 4 * ridge * np.eye(len(p))
+    reg[-1, -1] = 1e-9
+
+    def at(s: float) -> np.ndarray:
+        return np.linalg.solve((1 - s) * prior * p + s * u + reg, prior * (1 + s) * p[-1] - s * u[-1])
+
+    lo, hi = 0.0, 1.0
+    if negative_part(at(hi), p, u, prior) >= 0:
+        return at(hi)
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if negative_part(at(mid), p, u, prior) >= 0 else (lo, mid)
+    return at(lo)
+
+
+def negative_part(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """R_U(-) - pi * R_P(-) from mean moments."""
+    return float((1 + 2 * w @ u[-1] + w @ u @ w) / 4 - prior * (1 + 2 * w @ p[-1] + w @ p @ w) / 4)
+
+
+def estimated_prior(u: np.ndarray, p: np.ndarray, gamma: float = 0.01, delta: float = 0.1) -> float:
+    """Best bin estimation from histograms of the scores of U and of positives that the scorer hasn't seen."""
+    n_u, n_p = u.sum(), p.sum()
+    q_u, q_p = u[::-1].cumsum() / n_u, p[::-1].cumsum() / n_p
+    some = q_p > 0
+    chance = np.sqrt(np.log(4 / delta) / 2 / n_u) + np.sqrt(np.log(4 / delta) / 2 / n_p)
+    best = np.argmin((q_u[some] + (1 + gamma) * chance) / q_p[some])
+    return float(np.clip(q_u[some][best] / q_p[some][best], 0.01, 0.98))
+
+
+def calibrate(u: np.ndarray, p: np.ndarray, prior: float) -> tuple[float, float]:
+    """Slope and shift of the logistic curve with mean(curve) = prior and mean(z * curve) = prior * mean of z over P, over the histogram u (Newton steps)."""
+    z = centres()
+    share, target = u / u.sum(), prior * np.array([(z * p).sum() / p.sum(), 1.0])
+    spread = max(1e-3, float(np.sqrt((share * z * z).sum() - (share * z).sum() ** 2)))
+    x = z / spread
+    target[0] /= spread
+    a, b = 1.0, 0.0
+    for _ in range(200):
+        c = _sigmoid(a * x + b)
+        g = np.array([(share * c * x).sum() + 1e-3 * a, (share * c).sum()]) - target
+        q = share * c * (1 - c)
+        h = np.array([[(q * x * x).sum() + 1e-3, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-6]])
         d = np.linalg.solve(h, g)
+        d /= max(1.0, abs(d).max() / 2)
         a, b = a - d[0], b - d[1]
-        if abs(d).max() < 1e-8:
+        if abs(d).max() < 1e-9:
             break
-    return float(a), float(b)
+    return float(a / spread), float(b)
+
+
+def centres() -> np.ndarray:
+    return (np.arange(BINS_OF) + 0.5) * (2 * REACH / BINS_OF) - REACH
+
+
+def histogram(z: np.ndarray) -> np.ndarray:
+    return np.bincount(np.clip(((z + REACH) * (BINS_OF / (2 * REACH))).astype(np.int64), 0, BINS_OF - 1), minlength=BINS_OF)
+
+
+def margin(model: dict[str, np.ndarray], x: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
+    # summed row by row, so that a text's score doesn't depend on its batch
+    w = model["w"] if w is None else w
+    return ((x - model["centre"]) / model["scale"] * w[:-1]).sum(1) + w[-1]
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -143,72 +179,132 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def _gather(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (1, 0, -1: none) of a bounded table (text, y)."""
-    kinds = "y int, x binary"
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, x) with the features of every text as halves of floats, as a table of its own."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             x = features(batch.column("text")).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 
-    got = df.mapInArrow(batches, kinds).toArrow()
-    # rows arrive in any order; the fit draws them by position, so they are put in one
-    rows = sorted(zip(got["y"].to_pylist(), got["x"].to_pylist(), strict=True))
-    x = np.frombuffer(b"".join(r[1] for r in rows), np.float16).astype(np.float32).reshape(-1, FEATURES)
-    return x, np.array([r[0] for r in rows], np.int64)
+    return shared.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, x binary"), "features")
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, parts: int = 4, held_out: int = 2) -> dict:
-    """A model from the rows outside the held-out fold.
+def _rows(column: pa.Array) -> np.ndarray:
+    """Features of a batch of the table."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).astype(np.float32).reshape(-1, FEATURES)
 
-    ``bound``: about how many labelled and how many unlabelled rows are read at
-    most; rows are chosen by a hash of their id.  The prior is the share of
-    positives among all labels of the training folds.
-    """
+
+def _all_moments(table: DataFrame, fan_in: int = 64) -> np.ndarray | None:
+    """Moments of every row of the table, added up in a tree."""
+
+    def own(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = 0, 0
+        for batch in it:
+            for lo in range(0, len(batch), 4096):
+                total, n = total + moments(_rows(batch.column("x").slice(lo, 4096))), n + 1
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "m"])
+
+    def added(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(group["part"].to_pylist(), group["m"].to_pylist(), strict=True))
+        total = np.sum([np.frombuffer(m) for _, m in rows], axis=0)
+        return pa.table([pa.array([rows[0][0]], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "m"])
+
+    sums = shared.keep(table.select("x").mapInArrow(own, "part long, m binary"), "moments")
+    while (n := sums.count()) > fan_in:
+        sums = shared.keep(sums.groupBy(F.pmod(F.xxhash64("part"), F.lit(n // fan_in + 1))).applyInArrow(added, "part long, m binary"), "moments")
+    got = sorted((r.part, bytes(r.m)) for r in sums.collect())
+    return np.sum([np.frombuffer(m) for _, m in got], axis=0).reshape(FEATURES + 1, -1) if got else None
+
+
+def _histograms(table: DataFrame, model: dict, weights: list[np.ndarray]) -> list[np.ndarray]:
+    """The histogram of every row's margin for each of some weights."""
+    sent = table.sparkSession.sparkContext.broadcast((model, weights))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, ws = sent.value
+        counts = np.zeros((len(ws), BINS_OF), np.int64)
+        for batch in it:
+            for lo in range(0, len(batch), 4096):
+                x = _rows(batch.column("x").slice(lo, 4096))
+                for i, w in enumerate(ws):
+                    counts[i] += histogram(margin(m, x, w))
+        which, place = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(which.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(counts[which, place])], ["which", "place", "n"])
+
+    out = np.zeros((len(weights), BINS_OF), np.int64)
+    for r in table.select("x").mapInArrow(batches, "which int, place int, n long").groupBy("which", "place").agg(F.sum("n").alias("n")).collect():
+        out[r.which, r.place] = r.n
+    return list(out)
+
+
+def learned(table: DataFrame, labels: DataFrame, bound: int = 20_000, parts: int = 4, held_out: int = 2) -> dict:
+    """A model from a table of :func:`featured` and the positive labels outside the held-out fold."""
     learn = fold(F.col("doc_id"), parts) != held_out
-    known = labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
-    n, good = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not good:
+    good = labels.where(learn & (F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    n = good.count()
+    if not n:
         return {"prior": 0.5}
-    prior = min(0.98, good / n)
-    total = docs.count()
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    some = known.where(hashed < bound / n)
-    labelled = docs.where(hashed < bound / n).select("doc_id", "text").join(some, "doc_id").select("text", "y")
-    rest = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) / float(1 << 20)
-    unlabelled = docs.where(learn & (rest < bound / max(1, total))).select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_anti").select("text", F.lit(-1).alias("y"))
-    x, y = _gather(labelled.unionByName(unlabelled))
-    positive, web = x[y == 1], x[y != 1] if (y == -1).sum() < 50 else x[y == -1]
-    if not len(positive) or not len(web):
-        return {"prior": prior}
-    model = fit(positive, web, prior)
-    trusted = y >= 0
-    a, b = calibrate(margin(model, x[trusted]), y[trusted])
-    return model | {"prior": prior, "a": a, "b": b}
-
-
-def score(docs: DataFrame, model: dict, threshold: float = 0.7, column: str = "score") -> DataFrame:
-    """(doc_id, score) over whole texts."""
-    name = column
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    half = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).alias("half")
+    got = table.where(hashed < bound / n).join(good.where(hashed < bound / n), "doc_id").select(half, "x").toArrow()
+    # rows arrive in any order; sums of them shouldn't depend on it
+    found = sorted(zip(got["half"].to_pylist(), got["x"].to_pylist(), strict=True))
+    if not found:
+        return {"prior": 0.5}
+    x, side = _rows(pa.array([r[1] for r in found], pa.binary())), np.array([r[0] for r in found])
+    raw = _all_moments(table)
+    mean = raw[-1, :-1] / raw[-1, -1]
+    scale = np.sqrt(np.maximum(0, np.diag(raw)[:-1] / raw[-1, -1] - mean**2)) + FLOOR
+    to = np.diag(np.append(1 / scale, 1.0))
+    to[:-1, -1] = -mean / scale
+    u = to @ raw @ to.T
+    model = {"centre": mean, "scale": scale}
+    z = (x - mean) / scale
+    prior = 0.5
+    if 0 < side.sum() < len(side):
+        turns = [fit(moments(z[side == i]), u, 0.5) for i in (0, 1)]
+        counts = _histograms(table, model, turns)
+        prior = float(np.mean([estimated_prior(counts[i], histogram(margin(model, x[side != i], turns[i]))) for i in (0, 1)]))
+    model["w"], model["prior"] = fit(moments(z), u, prior), prior
+    model["a"], model["b"] = calibrate(_histograms(table, model, [model["w"]])[0], histogram(margin(model, x)), prior)
+    return model
+
+
+def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, parts: int = 4, held_out: int = 2) -> dict:
+    """A model for ``docs`` (doc_id, text); about ``bound`` labelled positives are read at most, chosen by a hash of their id."""
+    return learned(featured(docs), labels, bound, parts, held_out)
+
+
+def probability(model: dict, x: np.ndarray) -> np.ndarray:
+    if "w" not in model:
+        return np.full(len(x), model["prior"])
+    return _sigmoid(model["a"] * margin(model, x) + model["b"]).astype(np.float64)
+
+
+def score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
+    """All columns of ``docs`` but text, and the score of the whole text."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in it:
             rest = [batch.column(i) for i in range(batch.num_columns - 1)]
-            texts = batch.column("text")
-            if "w" in m:
-                p = _sigmoid(m["a"] * margin(m, features(texts)) + m["b"])
-            else:
-                p = np.full(len(texts), m["prior"])
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(p.astype(np.float64))], [*batch.schema.names[:-1], name])
+            p = probability(sent.value, features(batch.column("text")).astype(np.float16).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(p)], [*batch.schema.names[:-1], column])
 
     table = docs.select(*[f"`{c}`" for c in docs.columns if c != "text"], "text")
-    return table.mapInArrow(batches, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1]) + f", `{name}` double")
+    return table.mapInArrow(batches, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[:-1]) + f", `{column}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, bound: int = 20_000) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
-    scored = score(docs.select("doc_id", "text"), train(docs, labels, bound))
+    table = featured(docs)
+    sent = docs.sparkSession.sparkContext.broadcast(learned(table, labels, bound))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probability(sent.value, _rows(batch.column("x"))))], ["doc_id", "score"])
+
+    scored = table.mapInArrow(batches, "doc_id long, score double")
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
