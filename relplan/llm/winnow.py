@@ -14,7 +14,8 @@ the first way.
 Defined cases: null and empty texts have no words; an item of fewer than
 ``span`` words is one window of its length; items without id or words are left
 out; equal item ids count once; repeated documents give repeated rows; extra
-columns don't take part; an empty benchmark hits nothing.
+columns don't take part; rows without id are rows like others; an empty benchmark
+hits nothing.
 """
 
 from __future__ import annotations
@@ -67,13 +68,18 @@ def windows(of: Column, length: int) -> Column:
     return F.transform(upto(F.size(of) - length + 1), lambda i: F.struct(i.alias("pos"), F.lit(length).alias("length"), F.xxhash64(F.slice(of, i + 1, length)).alias("hash")))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, least_items: int = 2, most_literals: int = 20_000) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``."""
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, least_items: int = 2, most_literals: int = 20_000, telling: int | None = None) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
+
+    With ``telling``, also n_telling, the items met in a window of so many words or more, and rest, the whole row.
+    """
+    rest = [] if telling is None else [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")]
+    kept = [] if telling is None else ["rest"]
     item = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     lengths = sorted({r[0] for r in item.select(F.least(F.size("w"), F.lit(span))).distinct().collect()})
     each = [item.where(F.size("w") >= span if n == span else F.size("w") == n).select("item", "w", F.explode(windows(F.col("w"), n)).alias("x")) for n in lengths]
     if not each:
-        return docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return docs.select(*rest, *[F.lit(0).cast("long").alias("n_telling") for _ in kept], "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
     shown = each[0]
     for other in each[1:]:
         shown = shown.unionByName(other)
@@ -83,7 +89,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, least
     n_windows, n_prints = known.count(), prints.count()
     listed = n_windows <= most_literals and n_prints <= most_literals
     short = [n for n in lengths if n < span]
-    cut = docs.select("doc_id", words(F.col("text")).alias("w"))
+    cut = docs.select(*rest, "doc_id", words(F.col("text")).alias("w"))
     by_length = {n: sorted(r[0] for r in known.where(F.col("length") == n).select("hash").distinct().collect()) for n in lengths} if listed else {}
 
     def known_at(of: Column, n: int) -> Column:
@@ -94,21 +100,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, least
         suspect = F.exists(fingerprints(F.col("w"), span), lambda p: _member(p, first)) if first else F.lit(False)
         for n in short:
             suspect = suspect | (F.size(known_at(F.col("w"), n)) > 0)
-        settled = cut.select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(suspect, F.col("w")).alias("w"))
+        settled = cut.select(*kept, "doc_id", F.size("w").cast("long").alias("n_words"), F.when(suspect, F.col("w")).alias("w"))
     else:
         keyed = cut.withColumn("key", F.xxhash64("doc_id", "w"))
         flagged = keyed.select("key", F.explode(fingerprints(F.col("w"), span)).alias("print")).join(prints, "print", "left_semi").select("key")
         for n in short:
             flagged = flagged.union(keyed.select("key", F.explode(windows(F.col("w"), n)).alias("x")).select("key", F.col("x.hash").alias("hash")).join(known.where(F.col("length") == n), "hash", "left_semi").select("key"))
-        settled = keyed.join(flagged.distinct().withColumn("hit", F.lit(True)), "key", "left").select("doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("hit"), F.col("w")).alias("w"))
+        settled = keyed.join(flagged.distinct().withColumn("hit", F.lit(True)), "key", "left").select(*kept, "doc_id", F.size("w").cast("long").alias("n_words"), F.when(F.col("hit"), F.col("w")).alias("w"))
     settled = shared.keep(settled.withColumn("row", F.monotonically_increasing_id()), "suspects")
     spots = settled.where(F.col("w").isNotNull())
     found = spots.select("row", F.explode(F.flatten(F.array(*[F.transform(known_at(F.col("w"), n), lambda x: F.struct(x["pos"].alias("pos"), x["length"].alias("length"), x["hash"].alias("hash"), F.array_join(F.slice("w", x["pos"] + 1, x["length"]), " ").alias("run"))) for n in lengths]))).alias("x")).select("row", "x.*")
-    met = found.join(known, ["length", "hash", "run"]).groupBy("row").agg(F.collect_set(F.struct("pos", "length")).alias("at"), F.array_sort(F.collect_set("item")).alias("items"))
+    met = found.join(known, ["length", "hash", "run"]).groupBy("row").agg(F.collect_set(F.struct("pos", "length")).alias("at"), F.array_sort(F.collect_set("item")).alias("items"), F.count_distinct(F.when(F.col("length") >= (telling or 0), F.col("item"))).alias("n_telling"))
     covered = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p["pos"], p["pos"] + p["length"] - 1))))
-    counted = met.select("row", F.size(covered).cast("long").alias("hit"), F.size("items").cast("long").alias("found"), F.array_join("items", ",").alias("ids"))
+    counted = met.select("row", F.size(covered).cast("long").alias("hit"), F.size("items").cast("long").alias("found"), F.array_join("items", ",").alias("ids"), "n_telling")
     n_items = F.coalesce("found", F.lit(0).cast("long"))
-    return settled.select("row", "doc_id", "n_words").join(counted, "row", "left").select("doc_id", "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"))
+    return settled.select("row", *kept, "doc_id", "n_words").join(counted, "row", "left").select(*kept, *[F.coalesce("n_telling", F.lit(0).cast("long")).alias("n_telling") for _ in kept], "doc_id", "n_words", F.coalesce("hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")), 256).alias("items_sha256"), (n_items >= least_items).alias("contaminated"))
 
 
 def _member(value: Column, values: list[int]) -> Column:
