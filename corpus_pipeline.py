@@ -17,8 +17,10 @@ from relplan.sources import shared
 
 #: A document stays if its calibrated chance of being good is at least this.
 GOOD = 0.7
-#: Benchmark items of fewer words can't tell a leak from common speech.
-LEAST_WORDS = 5
+#: A window or whole item of so many words tells a leak by itself; shorter whole items, which are common speech, need a second item.
+TELLING_WORDS = 5
+#: Near copies from this similarity on; 40 bands of 5 miss a pair at it with chance 1e-7.
+SIMILAR = {"percent": 80, "coordinates": 200, "band": 5}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id; of rows with one id, one stays."""
-    return minhash.first_of_each(docs)
+    """One document of each group of near copies, that of the smallest id; of rows with one id and text, one stays."""
+    return minhash.first_of_each(docs, **SIMILAR)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +45,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a run of eight words of any benchmark item, or a whole item of five to seven; shorter items don't count here."""
+    """Documents without a run of eight words of any benchmark item, without a whole item of five to seven, and without two items of any length."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    telling = items.where(F.size(winnow.words(F.col("text"))) >= LEAST_WORDS)
-    leaked = winnow.contamination(docs.select("doc_id", "text"), telling, least_items=1).where("contaminated").select("doc_id").distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["doc_id"]), "left_anti")
+    found = winnow.contamination(docs, items, telling=TELLING_WORDS)
+    return found.where("n_telling = 0 and not contaminated").select(*[F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
