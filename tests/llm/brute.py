@@ -22,7 +22,7 @@ def fold(doc_id, parts):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % parts
 
 
-def near(docs):
+def near(docs, percent=85):
     """{doc_id: (n_shingles, component)} of (doc_id, text) with distinct ids."""
     sets = {}
     for i, text in docs:
@@ -38,7 +38,7 @@ def near(docs):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {i: (len(sets[i]), find(i)) for i in ids}

@@ -20,7 +20,7 @@ def test_stages_against_brute_force(spark):
     good, single, cut, clean, mixed = ({r.doc_id: r.text for r in x.collect()} for x in results)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     assert sum((i in good) == bool(q) for i, q in labels.items()) > 0.9 * len(labels)
-    assert set(single) == {i for i, (_, c) in near(list(good.items())).items() if c == i}
+    assert set(single) == {i for i, (_, c) in near(list(good.items()), 80).items() if c == i}
     want = removed(list(single.items()), True)
     assert set(cut) == set(single) and all(cut[i] == (single[i] if not want[i][1] else want[i][3].decode()) for i in cut)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -44,3 +44,26 @@ def test_stages_on_odd_rows(spark, tmp_path, which):
         docs = shared.keep(stage(spark, docs, str(tmp_path)), "stage")
         assert docs.columns[: len(before)] == before and (i == 4 or len(docs.columns) == len(before))
         assert (docs.count() == 0) == (which == "empty")
+
+
+def test_leaks_are_told_by_row_and_items_of_every_length_count(spark, tmp_path):
+    spark.createDataFrame([(1, "three word item"), (2, "another"), (3, "five words in this item"), (4, "one two three four five six seven eight nine"), (None, "no id")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "a clean text of its own"), (None, "well one two three four five six seven eight well"), (1, "here is a three word item only"), (2, "a three word item and another"), (3, "the five words in this item"), (3, "clean again"), (4, None), (None, None)]
+    kept = corpus_pipeline.benchmark_leaks(spark, frame(spark, rows), str(tmp_path))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[0], rows[2], rows[5], rows[6], rows[7]], key=str)
+
+
+def test_near_copies_from_eighty_percent_on(spark):
+    """Pairs of 0.80 to 0.85: 100 shingles, of which one changed word takes five or a tail takes others."""
+    base = [f"b{i}" for i in range(104)]
+    docs = []
+    for i, changed in enumerate(([], [50], [50, 60], [50, 60, 70], [99, 100, 101, 102, 103], list(range(92, 104)))):
+        docs.append((i, " ".join(f"n{i}_{j}" if j in changed else w for j, w in enumerate(base))))
+    left = corpus_pipeline.near_duplicates(spark, frame(spark, docs), "")
+    assert {r.doc_id for r in left.collect()} == {i for i, (_, c) in near(docs, 80).items() if c == i} != {i for i, (_, c) in near(docs, 85).items() if c == i}
+
+
+def test_rows_of_one_id_and_different_texts_stay(spark):
+    rows = [(1, "one text of five words or more"), (1, "quite another text under the same id"), (1, "one text of five words or more"), (2, "x")]
+    assert sorted(r.text for r in corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").collect()) == sorted({t for _, t in rows})
