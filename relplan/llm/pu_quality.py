@@ -6,15 +6,15 @@ squared loss, with trusted positives P, unlabelled text U and a class prior pi.
 
 U is every text of the table: under that loss its part of the risk needs only
 second moments, which all tasks add up, so nothing of U is sampled.  P is a
-sample of bounded size (``bound``).  The prior is estimated from U: a classifier
-fitted to one half of P gives scores, and the prior is the least ratio of the
-shares of U and of the other half of P above a score, bounds for chance included
-(best bin estimation); both halves take turns.  Scores become probabilities by
+sample of bounded size (``bound``).  The prior is estimated from U: classifiers
+fitted to all but one eighth of P score U and that eighth, each positive gets the
+share of U above it, and the prior is the least ratio of such a share and the
+share of P above it, bounds for chance included (best bin estimation).  Scores become probabilities by
 the logistic curve whose mean over U is the prior and whose mean of margins
 weighs what P says.  No negative label is used anywhere.
 
 Defined cases: null and empty texts get the score of an empty text; tables
-without positives give every row 0.5; with one positive the prior is 0.5;
+without positives give every row 0.5; with one positive or all in one eighth the prior is 0.5;
 repeated rows score alike; extra columns are ignored.
 """
 
@@ -88,7 +88,9 @@ def _fill(out: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
     x[:, 9:] = np.sqrt(bags / some[:, None])
 
 
-RIDGE, FLOOR, BINS_OF, REACH = 0.1, 0.05, 1 << 14, 4.0
+#: Weight of the squares of the weights for very many positives, and what few of them add to it.
+RIDGE, RIDGE_FEW = 0.1, 50
+FLOOR, BINS_OF, REACH, TURNS = 0.05, 1 << 14, 4.0, 8
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -129,14 +131,18 @@ def negative_part(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) ->
     return float((1 + 2 * w @ u[-1] + w @ u @ w) / 4 - prior * (1 + 2 * w @ p[-1] + w @ p @ w) / 4)
 
 
-def estimated_prior(u: np.ndarray, p: np.ndarray, gamma: float = 0.01, delta: float = 0.1) -> float:
-    """Best bin estimation from histograms of the scores of U and of positives that the scorer hasn't seen."""
-    n_u, n_p = u.sum(), p.sum()
-    q_u, q_p = u[::-1].cumsum() / n_u, p[::-1].cumsum() / n_p
-    some = q_p > 0
-    chance = np.sqrt(np.log(4 / delta) / 2 / n_u) + np.sqrt(np.log(4 / delta) / 2 / n_p)
-    best = np.argmin((q_u[some] + (1 + gamma) * chance) / q_p[some])
-    return float(np.clip(q_u[some][best] / q_p[some][best], 0.01, 0.98))
+def shares_above(u: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """For every positive of the histogram p, the share of the histogram u in its bin and those above."""
+    return np.repeat(u[::-1].cumsum()[::-1] / u.sum(), p)
+
+
+def estimated_prior(above: np.ndarray, n: int, gamma: float = 0.01, delta: float = 0.1) -> float:
+    """Best bin estimation from the shares of U, which has n rows, above each of some positives that its scorer hasn't seen."""
+    v = np.sort(above)
+    q = np.arange(1, len(v) + 1) / len(v)
+    chance = np.sqrt(np.log(4 / delta) / 2 / n) + np.sqrt(np.log(4 / delta) / 2 / len(v))
+    best = np.argmin((v + (1 + gamma) * chance) / q)
+    return float(np.clip(v[best] / q[best], 0.01, 0.98))
 
 
 def calibrate(u: np.ndarray, p: np.ndarray, prior: float) -> tuple[float, float]:
@@ -247,10 +253,10 @@ def learned(table: DataFrame, labels: DataFrame, bound: int = 20_000, parts: int
     if not n:
         return {"prior": 0.5}
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    half = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2)).alias("half")
-    got = table.where(hashed < bound / n).join(good.where(hashed < bound / n), "doc_id").select(half, "x").toArrow()
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(TURNS)).alias("turn")
+    got = table.where(hashed < bound / n).join(good.where(hashed < bound / n), "doc_id").select(turn, "x").toArrow()
     # rows arrive in any order; sums of them shouldn't depend on it
-    found = sorted(zip(got["half"].to_pylist(), got["x"].to_pylist(), strict=True))
+    found = sorted(zip(got["turn"].to_pylist(), got["x"].to_pylist(), strict=True))
     if not found:
         return {"prior": 0.5}
     x, side = _rows(pa.array([r[1] for r in found], pa.binary())), np.array([r[0] for r in found])
@@ -262,12 +268,13 @@ def learned(table: DataFrame, labels: DataFrame, bound: int = 20_000, parts: int
     u = to @ raw @ to.T
     model = {"centre": mean, "scale": scale}
     z = (x - mean) / scale
-    prior = 0.5
-    if 0 < side.sum() < len(side):
-        turns = [fit(moments(z[side == i]), u, 0.5) for i in (0, 1)]
-        counts = _histograms(table, model, turns)
-        prior = float(np.mean([estimated_prior(counts[i], histogram(margin(model, x[side != i], turns[i]))) for i in (0, 1)]))
-    model["w"], model["prior"] = fit(moments(z), u, prior), prior
+    prior, ridge = 0.5, RIDGE + RIDGE_FEW / len(x)
+    turns = [i for i in range(TURNS) if 0 < (side == i).sum() < len(side)]
+    if turns:
+        each = [fit(moments(z[side != i]), u, 0.5, ridge) for i in turns]
+        above = [shares_above(h, histogram(margin(model, x[side == i], w))) for i, w, h in zip(turns, each, _histograms(table, model, each), strict=True)]
+        prior = estimated_prior(np.concatenate(above), int(raw[-1, -1]))
+    model["w"], model["prior"] = fit(moments(z), u, prior, ridge), prior
     model["a"], model["b"] = calibrate(_histograms(table, model, [model["w"]])[0], histogram(margin(model, x)), prior)
     return model
 

@@ -42,7 +42,7 @@ def test_prior_and_curve_of_planted_shares(prior):
     good = rng.random(n) < prior
     u = P.histogram(np.where(good, rng.normal(1, 0.3, n), rng.normal(-1, 0.3, n)))
     p = P.histogram(rng.normal(1, 0.3, n))
-    assert P.estimated_prior(u, p) == pytest.approx(prior, abs=0.03)
+    assert P.estimated_prior(P.shares_above(u, p), n) == pytest.approx(prior, abs=0.03)
     a, b = P.calibrate(u, p, prior)
     curve = 1 / (1 + np.exp(-(a * P.centres() + b)))
     assert (u * curve).sum() / n == pytest.approx(prior, abs=0.01) and curve[P.centres() > 0.6].min() > 0.9 and curve[P.centres() < -0.6].max() < 0.1
