@@ -106,43 +106,52 @@ def classes(units: Units, codes: np.ndarray, starts: np.ndarray) -> tuple[np.nda
 
     Buckets of eight bytes or one word come first; then bucket numbers are refined
     by those at later offsets, each pass reusing the numbers of the last and
-    reaching twice as far, until the span is covered.
+    reaching about twice as far, until the span is covered.  A window with a bucket
+    of its own at any of these offsets equals no other and leaves.
     """
-    depth, reach = 1 if units.words else 8, [0]
-    begun = depth
-    while depth < units.span:  # offsets whose bucket numbers the passes need, from the last one back
-        step = min(depth, units.span - depth)
-        depth += step
-        reach = [*reach, *(r + step for r in reach)]
+    steps, depth = [], 1 if units.words else 8
+    while depth < units.span:
+        steps.append(min(depth, units.span - depth))
+        depth += steps[-1]
+    reach = [[0]]  # offsets at which a pass needs the numbers of the one before it, from the last pass back
+    for step in reversed(steps):
+        reach.insert(0, sorted({*reach[0], *(r + step for r in reach[0])}))
     index = np.int32 if len(codes) < 2**31 - units.span else np.int64
-    need = np.zeros(len(codes) + 1, bool)
-    for offset in sorted(set(reach)):
-        need[starts + offset] = True
-    where = np.flatnonzero(need).astype(index)
-    del need
     bucket = np.zeros(len(codes) + 1, np.uint32)
-    if units.words:
-        bucket[:-1] = codes
-    else:
-        order, first = groups(K.eights(codes)[where])
-        bucket[where[order]] = np.repeat(np.arange(len(first), dtype=np.uint32), sizes(first, len(order)))
-    depth = begun
-    while depth < units.span:
-        step = min(depth, units.span - depth)
-        depth += step
-        at = starts if depth == units.span else where[where + step <= len(codes)]
-        key = bucket[at].astype(K.U64)
-        key <<= K.U64(32)
-        key |= bucket[at + step]
-        if depth == units.span:
-            del bucket, where
-            return groups(key)
+    alive = np.arange(len(starts))
+    for i, offsets in enumerate(reach[:-1]):
+        need = np.zeros(len(codes) + 1, bool)
+        at = starts[alive]
+        for offset in offsets:
+            need[at + offset] = True
+        where = np.flatnonzero(need).astype(index)
+        if i == 0:
+            key = codes[where] if units.words else K.eights(codes)[where]
+        else:
+            key = bucket[where].astype(K.U64)
+            key <<= K.U64(32)
+            key |= bucket[where + steps[i - 1]]
         order, first = groups(key)
         del key
+        size = sizes(first, len(order))
         finer = np.zeros_like(bucket)
-        finer[at[order]] = np.repeat(np.arange(len(first), dtype=np.uint32), sizes(first, len(order)))
+        finer[where[order]] = np.repeat(np.arange(len(first), dtype=np.uint32), size)
         bucket = finer
-    return groups(bucket[starts])
+        need[:] = False
+        need[where[order[first[size == 1]]]] = True
+        lone = np.zeros(len(at), bool)
+        for offset in offsets:
+            lone |= need[at + offset]
+        alive = alive[~lone]
+    at = starts[alive]
+    key = bucket[at].astype(K.U64)
+    key <<= K.U64(32)
+    key |= bucket[at + steps[-1]]
+    order, first = groups(key)
+    left = np.ones(len(starts), bool)
+    left[alive] = False
+    alone = np.flatnonzero(left)
+    return np.concatenate([alive[order], alone]), np.concatenate([first, len(order) + np.arange(len(alone))])
 
 
 def later(units: Units, found: tuple[np.ndarray, np.ndarray], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
