@@ -289,3 +289,32 @@ def test_empty_tables(spark, name):
 def test_empty_benchmark(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert winnow.contamination(frame(spark, docs), none).where("n_hit > 0 or contaminated").count() == 0
+
+
+def test_trees_have_tight_boxes_and_the_best_first_walk_skips_leaves():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * (rng.normal(0, 0.1, (4000, 3)) + rng.integers(-3, 4, (4000, 1))))
+    order, tree = kdtree.build(x, 64)
+    assert sorted(order.tolist()) == list(range(4000))
+    for i in range(len(tree.lo)):
+        part = x[order[tree.lo[i] : tree.hi[i]]]
+        assert (part.min(0) == tree.low[i]).all() and (part.max(0) == tree.high[i]).all()
+        assert tree.left[i] < 0 or (tree.lo[tree.left[i]], tree.hi[tree.left[i]], tree.hi[tree.right[i]]) == (tree.lo[i], tree.lo[tree.right[i]], tree.hi[i])
+    met = []
+    plain, kdtree.products = kdtree.products, lambda q, y: met.append(len(y)) or plain(q, y)
+    try:
+        score, ident = kdtree.search(np.array([-1]), x[:1], order, x[order], tree, 5, np.array([-np.inf]))
+    finally:
+        kdtree.products = plain
+    want = sorted(((-float(s), i) for i, s in enumerate(x @ x[0])))[:5]
+    assert [(-s, i) for s, i in zip(score[0], ident[0])] == want and sum(met) < 2000
+
+
+def test_search_over_repeated_ids_and_large_products(spark):
+    rows = [(0, [3e9, 1.0]), (0, [1.0, 1.0]), (1, [3e9, 2.0]), (1, [3e9, 2.0]), (2, [-3e9, 5.0]), (3, [3e9, 1.0]), (50, [0.0, 0.0])]
+    found = [tuple(r) for r in kdtree.top_k(vectors(spark, rows)).select("query_id", "rank", "vec_id", "score").collect()]
+    assert all(q != v for q, _, v, _ in found) and {q for q, _, _, _ in found} == {0, 50}
+    assert [r[2:] for r in sorted(found) if r[0] == 50] == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 0)]
+    assert max(r[3] for r in found) <= 2**63 - 1
