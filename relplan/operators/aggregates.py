@@ -15,7 +15,9 @@ from relplan.functions import paths
 from relplan.functions.expressions import Value, lossless_sum
 from relplan.functions.types import family
 
-from .relational import sort_columns
+from relplan.sources import shared
+
+from .relational import row_number, sort_columns
 
 Call = tuple[str | Callable[..., Column], paths.Path | Sequence[paths.Path]]
 
@@ -70,10 +72,15 @@ def hash_aggregation(df: DataFrame, keys: Sequence[paths.Path], calls: Sequence[
 def sorted_aggregation(df: DataFrame, keys: Sequence[paths.Path], calls: Sequence[Call] = (), order: Sequence[paths.Path] | None = None, within: Sequence[paths.Path] = ()) -> DataFrame:
     """Groups of input sorted by ``keys``; with another ``order``, one row for each run of equal keys in that order.
 
-    Runs are found inside each group of ``within``; name one, or all rows meet in one task.
+    Runs are found inside each group of ``within``, or over all rows, which are
+    then numbered by ranges, so that no task sees all of them.
     """
     if order is None:
         return hash_aggregation(df, keys, calls)
+    if not within:
+        numbered = _numbered_runs(df, keys, order)
+        columns = [paths.find(df.schema, k)[0].alias(f"key_{i}") for i, k in enumerate(keys)]
+        return numbered.groupBy(*columns, "_run").agg(*(_calls(df, calls) or [F.count(F.lit(1)).alias("_n")])).drop("_run", "_n")
     key = F.struct(*[paths.find(df.schema, k)[0].alias(f"k{i}") for i, k in enumerate(keys)])
     part = [paths.find(df.schema, w)[0] for w in within]
     by = Window.partitionBy(*part).orderBy(*sort_columns(df, order))
@@ -82,3 +89,19 @@ def sorted_aggregation(df: DataFrame, keys: Sequence[paths.Path], calls: Sequenc
     columns = [paths.find(df.schema, k)[0].alias(f"key_{i}") for i, k in enumerate(keys)]
     hidden = [paths.find(df.schema, w)[0].alias(f"_w{i}") for i, w in enumerate(within)]
     return runs.groupBy(*columns, *hidden, "_run").agg(*(_calls(df, calls) or [F.count(F.lit(1)).alias("_n")])).drop("_run", "_n", *[f"_w{i}" for i in range(len(within))])
+
+
+def _numbered_runs(df: DataFrame, keys: Sequence[paths.Path], order: Sequence[paths.Path]) -> DataFrame:
+    """``df`` with _run, the number of its run of equal keys in that order."""
+    numbered = row_number(order)(df)
+    key = F.struct(*[paths.find(df.schema, k, F.col("row"))[0].alias(f"k{i}") for i, k in enumerate(keys)])
+    rows = shared.keep(numbered.select(F.col("row_number").alias("_at"), "row", key.alias("_key")), "numbered")
+    before = rows.select((F.col("_at") + 1).alias("_at"), F.col("_key").alias("_last"), F.lit(True).alias("_some"))
+    fresh = F.when(F.col("_some") & F.col("_key").eqNullSafe(F.col("_last")), 0).otherwise(1)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = max(1, -(-rows.count() // n))
+    marked = shared.keep(rows.join(before, "_at", "left").select("_at", "row", fresh.alias("_new"), F.floor(F.col("_at") / size).alias("_range")), "runs")
+    sums = marked.groupBy("_range").agg(F.sum("_new").alias("_sum"))
+    offsets = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_offset"))  # one row for each of n ranges
+    inside = F.sum("_new").over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return marked.join(F.broadcast(offsets), "_range").withColumn("_run", F.col("_offset") + inside).select("row.*", "_run")

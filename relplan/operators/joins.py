@@ -2,10 +2,16 @@
 
 Rows come out as {left, right}; the missing side of an outer join is a null tuple.
 The algorithm is a hint: merge and hash join give the same rows.
+
+A join on any expression is left to Spark, which broadcasts the right side, where
+that lies below the session's size threshold.  Otherwise both sides are dealt
+into blocks, and every pair of blocks is one group of an equality join, which
+spills: memory is bounded by blocks, whatever the sizes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,6 +21,7 @@ from pyspark.sql import functions as F
 from relplan.functions import expressions as E
 from relplan.functions import paths
 from relplan.functions.types import comparable
+from relplan.sources import shared
 
 PRESERVE = {"none": "inner", "left": "left", "right": "right", "both": "full"}
 SEMI = {"semi": "left_semi", "anti": "left_anti"}
@@ -70,12 +77,52 @@ def _theta(left: DataFrame, right: DataFrame, expression: str | None, names: tup
     return E.condition(expression, E.Scope([(names[0], left.schema, roots[0]), (names[1], right.schema, roots[1])]))
 
 
+def _bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether the side may be broadcast."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 <= _bytes(df) <= limit
+
+
+def _blocks(left: DataFrame, right: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (_i, _j), the pair of blocks; each row once for every block of the other side."""
+    n, m = (max(1, min(1 << 12, math.ceil(_bytes(x) / block_bytes))) for x in (left, right))
+
+    def dealt(df: DataFrame, own: str, of: int, other: str, others: int) -> DataFrame:
+        column = df.columns[0]
+        return df.withColumn(own, F.pmod(F.xxhash64(column), F.lit(of)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    return dealt(left, "_i", n, "_j", m), dealt(right, "_j", m, "_i", n)
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, on: Column | None, how: str, block_bytes: int = 32 << 20) -> DataFrame:
+    """Theta join of {left} and {right} block by block: inner, left, left_semi or left_anti."""
+    if how == "inner":
+        a, b = _blocks(left, right, block_bytes)
+        return a.join(b.hint("merge"), (a["_i"] == b["_i"]) & (a["_j"] == b["_j"]) & (F.lit(True) if on is None else on)).select("left", "right")
+    numbered = shared.keep(left.withColumn("_id", F.monotonically_increasing_id()), "left")
+    a, b = _blocks(numbered, right, block_bytes)
+    same = (a["_i"] == b["_i"]) & (a["_j"] == b["_j"]) & (F.lit(True) if on is None else on)
+    if how == "left":
+        pairs = shared.keep(a.join(b.hint("merge"), same).select("_id", "left", "right"), "pairs")
+        lone = numbered.join(pairs.select("_id").distinct(), "_id", "left_anti").select("left", F.lit(None).cast(right.schema["right"].dataType).alias("right"))
+        return pairs.select("left", "right").unionByName(lone)
+    met = a.join(b.hint("merge"), same, "left_semi").select("_id").distinct()
+    return numbered.join(met, "_id", how).select("left")
+
+
 def nested_loop_join(left: DataFrame, right: DataFrame, expression: str | None, preserve: str = "none", names: tuple[str, str] = ("left", "right")) -> DataFrame:
     """Join on any expression over both inputs, all pairs without one; inner, or preserving the left."""
     if preserve not in ("none", "left"):
         raise ValueError("this join preserves the left side or none")
     on = _theta(left, right, expression, names, (F.col("left"), F.col("right")))
     a, b = wrapped(left, "left"), wrapped(right, "right")
+    if not fits(b):
+        return _in_blocks(a, b, on, PRESERVE[preserve])
     if on is None:
         return a.crossJoin(b) if preserve == "none" else a.join(b, F.lit(True), "left")
     return a.join(b, on, PRESERVE[preserve])
@@ -117,4 +164,6 @@ def hash_semi_join(left: DataFrame, left_keys: Sequence[paths.Path], right: Data
 def nested_loop_semi_join(left: DataFrame, right: DataFrame, expression: str | None, kind: str = "semi", names: tuple[str, str] = ("left", "right")) -> DataFrame:
     """Left rows with or without a right row for which the expression is true; without one, any right row counts."""
     on = _theta(left, right, expression, names, (F.col("left"), F.col("right")))
+    if kind in SEMI and not fits(right):
+        return _in_blocks(wrapped(left, "left"), wrapped(right, "right"), on, SEMI[kind]).select(*[F.col("left")[n].alias(n) for n in left.columns])
     return _sided(left, right, F.lit(True) if on is None else on, kind, None)

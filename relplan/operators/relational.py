@@ -119,8 +119,18 @@ def offset_limit(df: DataFrame, offset: int = 0, limit: int | None = None) -> Da
     """At most ``limit`` rows after the first ``offset``."""
     if offset < 0 or limit is not None and limit <= 0:
         raise ValueError("offset must be finite and limit positive")
-    out = df.offset(offset) if offset else df
-    return out if limit is None else out.limit(limit)
+    if not offset or limit is not None:
+        return df.offset(offset).limit(limit) if offset else df if limit is None else df.limit(limit)
+    # without a limit no task may see all rows: the partition in which the offset ends is found from their counts
+    table = shared.keep(df.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    first, left = 0, offset
+    for part, n in sorted(table.groupBy(F.shiftright("_place", 33)).count().collect()):  # one row for each partition
+        first = (part << 33) + left
+        if left < n:
+            break
+        left -= n
+        first = (part + 1) << 33
+    return table.where(F.col("_place") >= first).orderBy("_place").drop("_place")
 
 
 def same_layout(frames: Sequence[DataFrame]) -> None:

@@ -11,12 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relplan.functions import expressions as E
 from relplan.operators import aggregates as A
 from relplan.operators import joins as J
 from relplan.operators import relational as R
 from relplan.sources import datasets as D
 from relplan.sources import shared
-from relplan.sources.tables import Database
+from relplan.sources.tables import Database, Snapshot, can_vacuum
 from relplan.streaming import files as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,12 +152,12 @@ def user_transformer(spark, sf_dir):
 
 # -- joins ------------------------------------------------------------------
 
-_BAND = "SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM (SELECT * FROM part WHERE p_partkey % 3 <> 0) a {how} JOIN part b ON abs(a.p_partkey - b.p_partkey) <= 3"
+_BAND = "SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM part a {how} JOIN part b ON abs(a.p_partkey - b.p_partkey) <= 3"
 
 
 def _parts(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    return R.selection(part, "p_partkey % 3 <> 0"), part
+    return part, part
 
 
 def _pairs(joined):
@@ -182,14 +183,14 @@ def nested_loop_cross(spark, sf_dir):
 
 
 _SIDES = """WITH l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 100 END AS k FROM customer),
-r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 500 = 0 THEN NULL ELSE o_orderkey % 1000 END AS k FROM orders WHERE o_orderkey % 20 = 0)
+r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 500 = 0 THEN NULL ELSE o_orderkey % 1000 END AS k FROM orders)
 """
 
 
 def _sides(spark, sf_dir):
     """Keys with nulls and repetitions on both sides, and some without a partner."""
     left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey") % 100).alias("k"))
-    right = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 500 != 0, F.col("o_orderkey") % 1000).alias("k"))
+    right = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 500 != 0, F.col("o_orderkey") % 1000).alias("k"))
     return left, right
 
 
@@ -208,40 +209,21 @@ for _kind, _sql in (("semi", ""), ("anti", "NOT")):
     )
 
 
-# -- the same joins over whole tables; those above keep the filters that their SQL has
-
-_WHOLE = """WITH l AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 100 END AS k FROM customer),
-r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 500 = 0 THEN NULL ELSE o_orderkey % 1000 END AS k FROM orders)
-"""
-
-
-def _whole_sides(spark, sf_dir):
-    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey") % 100).alias("k"))
-    right = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 500 != 0, F.col("o_orderkey") % 1000).alias("k"))
-    return left, right
-
-
-@query("SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM part a JOIN part b ON abs(a.p_partkey - b.p_partkey) <= 3")
-def whole_band_join(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    return _pairs(J.band_join(part, "p_partkey", part, "p_partkey", 3))
-
-
-for _how, _sql in (("none", ""), ("left", "LEFT"), ("right", "RIGHT"), ("both", "FULL")):
-    for _join in (J.sort_merge_join, J.hash_join):
-        query(f"{_WHOLE} SELECT l.id AS left_id, l.k AS left_k, r.id AS right_id, r.k AS right_k FROM l {_sql} JOIN r ON l.k IS NOT DISTINCT FROM r.k", f"whole_{_join.__name__}_{_how}")(
-            lambda spark, sf_dir, join=_join, how=_how: J.flat(join((s := _whole_sides(spark, sf_dir))[0], ["k"], s[1], ["k"], how))
-        )
+_THETA = "SELECT s_suppkey, s_acctbal FROM supplier s WHERE {how} EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey < s.s_nationkey AND c.c_acctbal > s.s_acctbal + 9000)"
 for _kind, _sql in (("semi", ""), ("anti", "NOT")):
-    for _semi in (J.sort_merge_semi_join, J.hash_semi_join):
-        query(f"{_WHOLE} SELECT id, k FROM l WHERE {_sql} EXISTS (SELECT 1 FROM r WHERE l.k IS NOT DISTINCT FROM r.k)", f"whole_{_semi.__name__.replace('_semi_join', '')}_{_kind}_join")(
-            lambda spark, sf_dir, join=_semi, kind=_kind: join((s := _whole_sides(spark, sf_dir))[0], ["k"], s[1], ["k"], kind)
-        )
-    query(f"{_WHOLE} SELECT id, k FROM l WHERE {_sql} EXISTS (SELECT 1 FROM r WHERE l.k = r.k)", f"whole_nested_loop_{_kind}_join")(
-        lambda spark, sf_dir, kind=_kind: J.nested_loop_semi_join(*_whole_sides(spark, sf_dir), "l.k = r.k", kind, ("l", "r"))
+    query(_THETA.format(how=_sql), f"theta_{_kind}_join")(
+        lambda spark, sf_dir, kind=_kind: J.nested_loop_semi_join(table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal"), "c.c_nationkey < s.s_nationkey AND c.c_acctbal > s.s_acctbal + 9000", kind, ("s", "c")).select("s_suppkey", "s_acctbal")
     )
 
 
+@query("SELECT s_suppkey AS left_key, n_nationkey AS right_key FROM supplier JOIN nation ON s_nationkey < n_nationkey AND s_suppkey % 5 <> n_regionkey")
+def theta_join_in_blocks(spark, sf_dir):
+    """The way of sides too large to broadcast, block by block."""
+    a, b = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    on = F.expr("left.s_nationkey < right.n_nationkey AND left.s_suppkey % 5 <> right.n_regionkey")
+    return J._in_blocks(J.wrapped(a, "left"), J.wrapped(b, "right"), on, "inner", block_bytes=256).select(F.col("left.s_suppkey").alias("left_key"), F.col("right.n_nationkey").alias("right_key"))
+
+
 # -- aggregation ------------------------------------------------------------
 
 
@@ -303,6 +285,14 @@ def user_aggregate(spark, sf_dir):
     return A.hash_aggregation(table(spark, sf_dir, "customer"), ["c_nationkey"], [(lambda c: F.max(c) - F.min(c), "c_custkey")])
 
 
+@query("""WITH m AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (ORDER BY event_id)),
+r AS (SELECT *, sum(fresh) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM m)
+SELECT event_type AS key_0, count(*) AS agg_0, min(event_id) AS agg_1 FROM r GROUP BY event_type, run""")
+def runs_over_all_rows(spark, sf_dir):
+    """One row for each run of equal event types over the whole table."""
+    return A.sorted_aggregation(table(spark, sf_dir, "events"), ["event_type"], [("count", "*"), ("min", "event_id")], order=["event_id"])
+
+
 # -- sort, limit, unions ----------------------------------------------------
 
 
@@ -321,6 +311,11 @@ def offset_limit(spark, sf_dir):
     return R.offset_limit(R.sort(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]), 55, 155)
 
 
+@query("SELECT o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100)")
+def offset_alone(spark, sf_dir):
+    return R.offset_limit(R.sort(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"]), 100)
+
+
 @query("SELECT c_custkey AS k, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
 def union_all(spark, sf_dir):
     return R.union([table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_name AS name"), table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k", "s_name AS name")])
@@ -373,6 +368,30 @@ def expr_case(spark, sf_dir):
     return R.projection(joined, texts).toDF("doc_id", *"abcd")
 
 
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE CASE WHEN l_linenumber = 1 THEN false ELSE 100 // (l_linenumber - 1) > 20 END")
+def expr_division_by_zero(spark, sf_dir):
+    """Rows on which the division fails are dropped."""
+    return R.selection_dropping_errors("100 / (l_linenumber - 1) > 20")(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(20,2)) + 1 AS DOUBLE) AS a, CAST(o_orderkey AS DOUBLE) / 8 AS b FROM orders")
+def expr_numeric(spark, sf_dir):
+    """Casts to NUMERIC keep what two decimals hold."""
+    return R.projection(table(spark, sf_dir, "orders"), [0, "CAST(CAST(o_totalprice AS NUMERIC) + 1 AS DOUBLE)", "CAST(CAST(o_orderkey AS NUMERIC) AS DOUBLE) / 8"]).toDF("o_orderkey", *"ab")
+
+
+@query("SELECT text, kind FROM (VALUES ('nothing_like_it + 1', 'UnknownVariable'), ('l_quantity < l_returnflag', 'Incomparable'), ('sqrt(l_quantity)', 'ExpressionError')) t(text, kind)")
+def expr_refused(spark, sf_dir):
+    """Expressions that are refused when read, and the class of the error."""
+    scope, out = R.scope(table(spark, sf_dir, "lineitem")), []
+    for text in ("nothing_like_it + 1", "l_quantity < l_returnflag", "sqrt(l_quantity)"):
+        try:
+            E.read(text, scope)
+        except E.ExpressionError as e:
+            out.append((text, type(e).__name__))
+    return spark.createDataFrame(out, "text string, kind string")
+
+
 # -- tables -----------------------------------------------------------------
 
 
@@ -447,3 +466,71 @@ def table_update(spark, sf_dir):
     tx.update("orders", "key % 5 = 0", status="'X'")
     tx.commit()
     return db.begin().scan("orders").select("key", "status")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def consumer(spark, sf_dir):
+    """A consumer takes every row, one after another."""
+    taken = []
+    D.consume(R.sort(table(spark, sf_dir, "region"), ["r_regionkey"]), lambda row: taken.append((row.r_regionkey, row.r_name)))
+    return spark.createDataFrame(taken, "r_regionkey int, r_name string")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey < 3")
+def clone_transformer(spark, sf_dir):
+    """A clone of a row is the row: rows don't change."""
+    return R.transformed(table(spark, sf_dir, "nation"), R.identity, lambda df: R.selection(df, "n_regionkey < 3")).select("n_nationkey", "n_name")
+
+
+_VERSIONS = "SELECT event_id, event_id % 13 AS xmin, CASE WHEN user_id % 3 = 0 THEN user_id % 11 END AS xmax FROM events"
+
+
+@query(f"""SELECT event_id, CASE WHEN NOT seen OR (xmax IS NOT NULL AND gone) THEN 'invisible' WHEN xmax IS NULL THEN 'can_delete' WHEN xmax = 10 THEN 'wait' ELSE 'must_abort' END AS may,
+xmax IS NOT NULL AND xmax < 4 AND xmax <> 2 AS vacuum
+FROM (SELECT *, xmin = 9 OR (xmin < 8 AND xmin NOT IN (3, 5)) AS seen, xmax = 9 OR (xmax < 8 AND xmax NOT IN (3, 5)) AS gone FROM ({_VERSIONS}))""")
+def mvcc_rules(spark, sf_dir):
+    """What a snapshot sees of row versions, and what may be deleted or vacuumed."""
+    snapshot = Snapshot(9, 8, (3, 5), 0)
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 13 AS xmin", "CASE WHEN user_id % 3 = 0 THEN user_id % 11 END AS xmax")
+    return rows.select("event_id", snapshot.can_delete(F.col("xmin"), F.col("xmax"), (10,)).alias("may"), F.coalesce(can_vacuum(F.col("xmax"), 4, F.col("xmax") != 2), F.lit(False)).alias("vacuum"))
+
+
+@query(f"SELECT event_id FROM ({_VERSIONS}) WHERE (xmin = 9 OR (xmin < 8 AND xmin NOT IN (3, 5))) AND (xmax IS NULL OR NOT (xmax = 9 OR (xmax < 8 AND xmax NOT IN (3, 5))))")
+def mvcc_transformer(spark, sf_dir):
+    """Readability of row versions as a transformer."""
+    snapshot = Snapshot(9, 8, (3, 5), 0)
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "event_id % 13 AS xmin", "CASE WHEN user_id % 3 = 0 THEN user_id % 11 END AS xmax")
+    return R.transformed(rows, lambda df: df.where(snapshot.visible(F.col("xmin"), F.col("xmax")))).select("event_id")
+
+
+@query("SELECT thing, name, kind FROM (VALUES ('table', 'sales', '2'), ('column', 'id', 'BIGINT'), ('column', 'note', 'TEXT'), ('index', 'by_id', 'hash'), ('status', '1', 'committed'), ('status', '2', 'aborted'), ('status', '3', 'in_progress'), ('status', '9', 'unassigned'), ('horizon', '3', '')) t(thing, name, kind)")
+def table_catalogue(spark, sf_dir):
+    """Tables renamed and dropped, indices, getters, transactions and the horizon."""
+    db = _database(spark)
+    db.create_table("orders", id="BIGINT")
+    db.create_table("lost", id="BIGINT")
+    db.add_column("orders", "note", "TEXT")
+    db.rename_table("orders", "sales")
+    db.drop_table("lost")
+    db.create_index("sales", "old", "id", "hash")
+    db.create_index("sales", "gone", "note")
+    db.rename_index("sales", "old", "by_id")
+    db.drop_index("sales", "gone")
+    one, two, _ = db.begin(), db.begin(), db.begin()
+    one.commit()
+    two.abort()
+    out = [("table", t, str(len(db.partitions(t)))) for t in db.tables()]
+    out += [("column", a["name"], a["type"]) for a in db.attributes("sales")] + [("index", i["name"], i["kind"]) for i in db.indices("sales")]
+    out += [("status", str(i), db.status(i)) for i in (1, 2, 3, 9)] + [("horizon", str(db.horizon()), "")]
+    return spark.createDataFrame(out, "thing string, name string, kind string")
+
+
+@query("SELECT n_nationkey AS key, n_name AS name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")
+def table_own_rows(spark, sf_dir):
+    """A statement that reads the table it fills doesn't see its own rows; the transaction does afterwards."""
+    db = _database(spark)
+    db.create_table("nations", key="INT", name="TEXT")
+    tx = db.begin()
+    tx.insert("nations", table(spark, sf_dir, "nation").selectExpr("n_nationkey AS key", "n_name AS name"))
+    tx.insert("nations", tx.scan("nations"))
+    return tx.scan("nations")
