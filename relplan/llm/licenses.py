@@ -56,6 +56,14 @@ SENTENCES = {
     43: "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     50: "licensed under the mozilla public license version 2 0",
     60: "this work is in the public domain",
+    70: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    71: "this is free and unencumbered software released into the public domain",
+    72: "this source code form is subject to the terms of the mozilla public license v 2 0",
+    73: "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    74: "either version 2 1 of the license or at your option any later version",
+    75: "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation",
+    76: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    77: "boost software license version 1 0",
     90: "all rights reserved",
 }
 #: Ordered rules: a licence, and the run of sentences that states it.
@@ -67,6 +75,11 @@ RULES = [
     ("Apache-2.0", [11, 12, 13, 14]),
     ("Apache-2.0", [11, 12]),
     ("Apache-2.0", [11]),
+    ("LGPL-3.0-or-later", [73, 23]),
+    ("LGPL-2.1-or-later", [73, 74]),
+    ("LGPL", [73]),
+    ("AGPL-3.0-or-later", [75, 23]),
+    ("AGPL", [75]),
     ("GPL-3.0-or-later", [22, 23]),
     ("GPL-2.0-or-later", [22, 24]),
     ("GPL", [22]),
@@ -88,11 +101,16 @@ RULES = [
     ("BSD-3-Clause", [41]),
     ("BSD-2-Clause", [42]),
     ("MPL-2.0", [50]),
+    ("MPL-2.0", [72]),
+    ("ISC", [70]),
+    ("Unlicense", [71]),
+    ("Zlib", [76]),
+    ("BSL-1.0", [77]),
     ("public-domain", [60]),
     ("all-rights-reserved", [90]),
 ]
 #: Sentences so long that they are known wherever they stand.
-NOTICES = {4, 5, 6, 12, 14, 22, 23, 24, 40, 43}
+NOTICES = {4, 5, 6, 12, 14, 22, 23, 24, 40, 43, 70, 71, 72, 73, 74, 75, 76, 77}
 #: Sentence 43 with any holder's name.
 HOLDER = ("neither the name of the copyright holder nor", r"neither the name of (?:[^ ]+ ){1,15}?nor")
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -70,3 +70,20 @@ def test_real_texts(spark, mark):
     if mark == "one line":  # nothing ends the sentences before the address there
         want[6], found[6] = (want[6][1],), (found[6][1],)
     assert found == want
+
+
+def test_notices_of_other_licences(spark):
+    from relplan.llm import licenses
+
+    texts = {
+        "ISC": "Copyright (c) 2020 Someone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+        "LGPL-2.1-or-later": "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.\n",
+        "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n",
+        "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish it.\n",
+        "Zlib": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n",
+        "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted\n",
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())] + [(99, "you can redistribute it, said the general public")], "doc_id long, text string")
+    found = {r.doc_id: r.licenses for r in licenses.scan(rows).collect()}
+    assert found == {**dict(enumerate(texts)), 99: ""}
