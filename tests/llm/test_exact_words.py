@@ -54,3 +54,29 @@ def test_counts(spark, size):
     found = {r.doc_id: r for r in lbl.score(frame(spark, docs)).collect()}
     assert all((found[i].n_tokens, found[i].n_known, found[i].train_tokens) == w[:3] and found[i].base_score == pytest.approx(w[3]) for i, w in want.items())
     assert all(want[i][1] == 1 for i in held)
+
+
+@pytest.mark.parametrize("units", [substrings.BYTES, substrings.WORDS], ids=["bytes", "words"])
+def test_repeats_in_rows_without_id_and_of_one_id(spark, units):
+    """Rows without id come last and are one document, as rows of one id are; places are compared by (document, start)."""
+    import random
+
+    rng = random.Random(4)
+    passage = " ".join(f"p{rng.randrange(40)}" for _ in range(45))
+    tail = " ".join(f"t{rng.randrange(40)}" for _ in range(45))
+    rows = [(None, f"a b {passage}"), (None, f"c {passage} {tail}"), (5, f"x y z {tail} {passage}"), (5, f"{passage} q"), (5, f"{passage} q"), (9, f"{tail} {passage}"), (7, None), (None, None), (8, "long" * 5000 + " " + tail)]
+    span = units.span
+    cut = [(2**63 - 1 if i is None else i, (t or "").encode().split() if units.words else (t or "").encode()) for i, t in rows]
+    places = {}
+    for i, u in cut:
+        for j in range(len(u) - span + 1):
+            places.setdefault(tuple(u[j : j + span]), []).append((i, j) if units.words else i)
+    want = []
+    for (i, u), (doc, _) in zip(cut, rows):
+        gone = [False] * len(u)
+        for j in range(len(u) - span + 1):
+            if min(places[tuple(u[j : j + span])]) < ((i, j) if units.words else i):
+                gone[j : j + span] = [True] * span
+        want.append((doc, len(u), sum(gone)))
+    found = substrings.remove_repeats(frame(spark, rows), units, least=5).selectExpr("rest.doc_id", "n_units", "n_removed").collect()
+    assert sorted((tuple(r) for r in found), key=str) == sorted(want, key=str)
