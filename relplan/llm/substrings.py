@@ -20,9 +20,10 @@ Hashes only bring windows together.  Equal windows of bytes are found by
 bucket-pointer refinement (:func:`classes`): positions fall into buckets by their
 first eight bytes, and every pass refines a bucket by the bucket numbers found as
 many bytes further on as the last one had settled, until the span is covered.
-Windows of words are found by suffix automata (:mod:`.automata`): the runs that
-have come together are dealt into bounded reference shards, and all later runs
-stream through each shard's automaton.  Words are numbered by their bytes.
+Windows of words are found by suffix automata (:mod:`.automata`): of those that
+have come together, windows whose hash stands alone leave; the runs of the others
+are dealt into bounded reference shards, and all later runs stream through each
+shard's automaton.  Words are numbered by their bytes.
 
 Defined cases: null and empty texts have no units and nothing removed; documents
 shorter than the span stay; rows without id come after all others; rows of equal
@@ -182,7 +183,15 @@ def late_windows(units: Units, codes: np.ndarray, doc: np.ndarray, begin: np.nda
     d, b, n = doc[order], begin[order], count[order]
     if units.words and not ((d[1:] == d[:-1]) & (b[1:] < b[:-1] + n[:-1])).any():
         found = np.zeros(int(count.sum()), bool)
-        found[spread((np.cumsum(count) - count)[order], n)] = automata.repeated(codes, where[order], n, units.span)
+        place, at, run = spread((np.cumsum(count) - count)[order], n), spread(where[order], n), np.repeat(np.arange(len(n)), n)
+        # a window whose hash stands alone here equals no other; the rest goes on in runs
+        by, head = groups(K.grams(codes.astype(K.U64), units.span)[at])
+        size = sizes(head, len(by))
+        left = np.sort(by[np.repeat(size > 1, size)])
+        if len(left):
+            place, at, run = place[left], at[left], run[left]
+            first = runs((at[1:] != at[:-1] + 1) | (run[1:] != run[:-1]))
+            found[place] = automata.repeated(codes, at[first], np.diff(np.append(first, len(at))), units.span)
         return found
     # rows of one id overlap: places are compared one by one
     return later(units, classes(units, codes, spread(where, count)), np.repeat(doc, count), spread(begin, count))
