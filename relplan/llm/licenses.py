@@ -20,6 +20,8 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,24 +114,32 @@ RULES = [
 #: Sentences so long that they are known wherever they stand.
 NOTICES = {4, 5, 6, 12, 14, 22, 23, 24, 40, 43, 70, 71, 72, 73, 74, 75, 76, 77}
 #: Sentence 43 with any holder's name.
-HOLDER = ("neither the name of the copyright holder nor", r"neither the name of (?:[^ ]+ ){1,15}?nor")
+HOLDER = ("neither the name of the copyright holder nor", r"neither the name of (?:[^ AB]+ ){1,15}?nor")
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # capitals are marks: A where a sentence ends, B where only a line does
 ENDS, OTHER = r"[.!?;:]+[ \t\r\n]+", r"[^\x30-\x39\x61-\x7A\x{80}-\x{10FFFF}AB]+"
 
 
-def _pattern(sentences: dict[int, str], notices: set[int]) -> str:
-    """All sentences in a text with marks, longer ones first."""
+def _known(sentences: dict[int, str], notices: set[int], inside: bool, gap: str) -> str:
+    """The sentences that are, or aren't, known inside longer ones, longer ones first, with ``gap`` between words."""
+    some = sorted((s for n, s in sentences.items() if (n in notices) == inside), key=len, reverse=True)
+    return "|".join(gap.join(re.split(" (?!AB)", s.replace(*HOLDER) if inside else s)) for s in some)
 
-    def known(inside: bool, gap: str) -> str:
-        some = sorted((s for n, s in sentences.items() if (n in notices) == inside), key=len, reverse=True)
-        return "|".join(s.replace(*HOLDER).replace(" ", gap) if s.startswith(HOLDER[0]) and inside else s.replace(" ", gap) for s in some)
 
-    bounded, anywhere = known(False, " (?:B )?+"), known(True, " (?:[AB] )*+")
+def _pattern(sentences: dict[int, str], notices: set[int]) -> str:
+    """All sentences in a text with marks."""
+    bounded, anywhere = _known(sentences, notices, False, " (?:B )?+"), _known(sentences, notices, True, " (?:[AB] )*+")
     ways = ([rf"(?<=[AB] )(?:{bounded})(?= [AB] )"] if bounded else []) + ([rf"(?:{anywhere})(?= )"] if anywhere else [])
     return rf"(?<= )(?:{'|'.join(ways)})"
 
 
+def _plain_pattern(sentences: dict[int, str], notices: set[int]) -> str:
+    """The same without looking around: every blank and mark is there twice, one for either side."""
+    bounded, anywhere = _known(sentences, notices, False, "  (?:B  B  )?"), _known(sentences, notices, True, "  (?:[AB]  [AB]  )*")
+    ways = ([rf" [AB]  (?:{bounded})  [AB] "] if bounded else []) + ([rf" (?:{anywhere}) "] if anywhere else [])
+    return "|".join(ways)
+
+
 def known_ids(text: Column, sentences: dict[int, str] = SENTENCES, notices: set[int] = NOTICES) -> Column:
     """Numbers of the known sentences of a text, in its order."""
     lowered = F.translate(F.concat(F.coalesce(text, F.lit("")), F.lit(" ")), UPPER, LOWERED)
@@ -154,8 +164,8 @@ def scan(docs: DataFrame, sentences: dict[int, str] = SENTENCES, rules: list[tup
     return done.select("doc_id", F.size("ids").cast("long").alias("n_known"), F.array_join(F.transform("ids", lambda n: n.cast("string")), ",").alias("sentence_ids"), F.size("names").cast("long").alias("n_licenses"), F.array_join("names", ",").alias("licenses"))
 
 
-def oracle(sentences: dict[int, str] = SENTENCES, rules: list[tuple[str, list[int]]] = RULES) -> str:
-    """The same over ``documents`` in DuckDB SQL."""
+def oracle(sentences: dict[int, str] = SENTENCES, rules: list[tuple[str, list[int]]] = RULES, notices: set[int] = NOTICES) -> str:
+    """The same over ``documents`` in DuckDB SQL, whose patterns can't look around."""
     known = ", ".join(f"({n}, '{s}')" for n, s in sentences.items())
     steps, last = "", "s0"
     for i, (name, run) in enumerate(rules, 1):
@@ -163,10 +173,12 @@ def oracle(sentences: dict[int, str] = SENTENCES, rules: list[tuple[str, list[in
         steps += f"s{i} AS (SELECT r, replace(rest, '{text}', '|') AS rest, CASE WHEN contains(rest, '{text}') THEN list_append(names, '{name}') ELSE names END AS names FROM {last}),\n"
         last = f"s{i}"
     return rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(coalesce(text, '') || ' ', '[.!?;:]+[ \t\r\n]+|\n') AS p FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, ' A ' || replace(regexp_replace(translate(coalesce(text, '') || ' ', '{UPPER}', '{LOWERED}'), '{ENDS}', ' A ', 'g'), chr(10), ' B ') || ' A ' AS marked FROM documents),
 known(n, s) AS (VALUES {known}),
-x AS (SELECT r, unnest(p) AS s, unnest(range(1, len(p) + 1)) AS i FROM d),
-y AS (SELECT r, i, trim(regexp_replace(translate(s, '{UPPER}', '{LOWERED}'), '[^\x30-\x39\x61-\x7A\x{{80}}-\x{{10FFFF}}]+', ' ', 'g')) AS s FROM x),
+w AS (SELECT r, replace(replace(replace(regexp_replace(marked, '{OTHER}', ' ', 'g'), ' ', '  '), ' A ', ' A  A '), ' B ', ' B  B ') AS twice FROM d),
+x AS (SELECT r, regexp_extract_all(twice, '{_plain_pattern(sentences, notices)}') AS p FROM w),
+v AS (SELECT r, unnest(p) AS s, unnest(range(1, len(p) + 1)) AS i FROM x),
+y AS (SELECT r, i, regexp_replace(trim(regexp_replace(s, '[AB ]+', ' ', 'g')), '^{HOLDER[1]}', '{HOLDER[0]}') AS s FROM v),
 z AS (SELECT r, count(*) AS n_known, string_agg(CAST(n AS VARCHAR), ',' ORDER BY i) AS ids, ',' || string_agg(CAST(n AS VARCHAR), ',,' ORDER BY i) || ',' AS rest FROM y JOIN known USING (s) GROUP BY r),
 s0 AS (SELECT r, rest, CAST([] AS VARCHAR[]) AS names FROM z),
 {steps}f AS (SELECT r, list_sort(list_distinct(names)) AS names FROM {last})

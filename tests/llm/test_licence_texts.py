@@ -1,5 +1,6 @@
 """Licence texts and notices as they are really written: wrapped, indented and behind comment marks."""
 
+import duckdb
 import pytest
 from test_contracts import frame
 
@@ -87,3 +88,17 @@ def test_notices_of_other_licences(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())] + [(99, "you can redistribute it, said the general public")], "doc_id long, text string")
     found = {r.doc_id: r.licenses for r in licenses.scan(rows).collect()}
     assert found == {**dict(enumerate(texts)), 99: ""}
+
+
+def test_sql_knows_the_same_texts(spark, tmp_path):
+    texts = [t for t, _, _ in CASES] + ["> " + t.replace("\n", "\n> ") for t, _, _ in CASES] + [" ".join(t.split()) for t, _, _ in CASES]
+    texts += [" ".join(t for t, _, _ in CASES), "\n".join(t for t, _, _ in CASES), "Licensed under\r\nthe MIT License.\r\nLicensed under the MIT License!", "", None, "A B\n\n A", "Straße. All rights\nreserved; ALL RIGHTS RESERVED: all rights reserved"]
+    rows = list(enumerate(texts)) + [(None, texts[0]), (0, texts[1])]
+    docs = frame(spark, rows)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        want = sorted(c.sql(licenses.oracle()).fetchall(), key=str)
+    found = [tuple(r) for r in licenses.scan(docs).collect()]
+    assert sorted(found, key=str) == want
+    assert sum(r[1] > 0 for r in found) > 25
